@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyship.llm.chat import format_chats, read_loss, read_turns
 from tallyship.llm.exact_index import exact_duplicates
+from tallyship.llm.quality import judge_quality
 from tallyship.llm.secrets import scan_secrets
 from tallyship.llm.shared import sha256_hex
 
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and the verdict for every document."""
+    return judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return scan_secrets(_table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op8_chat_format": op8_chat_format,
         "op10_exact_dedup": op10_exact_dedup,
