@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyship.llm.bitplanes import write_and_read
 from tallyship.llm.chat import format_chats, read_loss, read_turns
 from tallyship.llm.exact_index import exact_duplicates
+from tallyship.llm.packing import pack_documents
 from tallyship.llm.quality import judge_quality
 from tallyship.llm.secrets import scan_secrets
 from tallyship.llm.shared import sha256_hex
@@ -18,6 +21,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to files of byte planes, and read back from them."""
+    return write_and_read(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and the verdict for every document."""
     return judge_quality(_table(spark, sf_dir, "documents"))
@@ -82,6 +95,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bit_planes": op1_bit_planes,
+        "op2_best_two_fit": op2_best_two_fit,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op8_chat_format": op8_chat_format,
