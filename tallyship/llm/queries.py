@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyship.llm.bitplanes import write_and_read
+from tallyship.llm.bpe import bpe_digests
 from tallyship.llm.chat import format_chats, read_loss, read_turns
 from tallyship.llm.exact_index import exact_duplicates
 from tallyship.llm.packing import pack_documents
@@ -31,6 +32,11 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by merge replay and decoded again."""
+    return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and the verdict for every document."""
     return judge_quality(_table(spark, sf_dir, "documents"))
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bit_planes": op1_bit_planes,
         "op2_best_two_fit": op2_best_two_fit,
+        "op3_merge_replay": op3_merge_replay,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op8_chat_format": op8_chat_format,

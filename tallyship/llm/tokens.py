@@ -1,9 +1,9 @@
-"""Encoding whole texts with the tokenizers library, each distinct chunk of text once.
+"""Encoding whole texts, each distinct chunk of text once.
 
 A byte-level tokenizer with the usual splitting pattern never joins characters over
 certain places: where a blank follows a non-blank, and where ASCII letters and other
-ASCII marks than the apostrophe meet. Texts are cut there, and the distinct chunks
-go through the library. Texts with blanks or separators beyond ASCII, for which the
+ASCII marks than the apostrophe meet. Texts are cut there, and only distinct chunks are
+encoded. Texts with blanks or separators beyond ASCII, for which the
 first rule does not hold, are one chunk each.
 """
 
@@ -54,17 +54,16 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class TextEncoder:
-    """Ids of texts; equal to the library's ``encode`` with ``add_special_tokens=False`` and special strings as plain text."""
+class ChunkEncoder:
+    """Ids of texts from the ids of their distinct chunks; ``new_chunks`` encodes those not yet known."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self):
         self._forget()
 
+    def new_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and how many each has."""
+        raise NotImplementedError
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.stops = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
@@ -72,14 +71,13 @@ class TextEncoder:
 
     def _append(self, texts: list[str]) -> np.ndarray:
         """Encodes texts and returns their numbers in the store."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total, chunks = self.n_ids + int(lengths.sum()), self.n_chunks + len(texts)
+        ids, lengths = self.new_chunks(texts)
+        total, chunks = self.n_ids + len(ids), self.n_chunks + len(texts)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(total, len(self.ids)), np.uint32)])
         if chunks + 1 > len(self.stops):
             self.stops = np.concatenate([self.stops[: self.n_chunks + 1], np.zeros(max(chunks, len(self.stops)), np.int64)])
-        self.ids[self.n_ids : total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total - self.n_ids)
+        self.ids[self.n_ids : total] = ids
         self.stops[self.n_chunks + 1 : chunks + 1] = self.n_ids + np.cumsum(lengths)
         numbers = np.arange(self.n_chunks, chunks)
         self.n_ids, self.n_chunks = total, chunks
@@ -113,6 +111,23 @@ class TextEncoder:
         return ids, at[np.searchsorted(bounds, offsets)]
 
 
+class TextEncoder(ChunkEncoder):
+    """Equal to the tokenizers library's ``encode`` with ``add_special_tokens=False`` and special strings as plain text."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def new_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum())), lengths
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
     """A worker's encoder for a tokenizer file; it stays for the worker's later tasks."""
