@@ -15,6 +15,7 @@ from tallyship.llm.exact_index import exact_duplicates
 from tallyship.llm.packing import pack_documents
 from tallyship.llm.quality import judge_quality
 from tallyship.llm.secrets import scan_secrets
+from tallyship.llm.separators import count_documents
 from tallyship.llm.shared import sha256_hex
 
 
@@ -68,6 +69,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted between the separators of flat files."""
+    return count_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), separator=50256)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its text that stays."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -107,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op8_chat_format": op8_chat_format,
+        "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
