@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text in a block, unless one text alone has more.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, unless one text alone has more, and texts in it.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 15
 
 
 @dataclass
@@ -40,6 +40,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
         first = 0
         while first < batch.num_rows:
             stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+            stop = min(stop, first + BLOCK_ROWS)
             yield Block(batch.slice(first, stop - first), data[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first])
             first = stop
 

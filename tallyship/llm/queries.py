@@ -12,6 +12,7 @@ from tallyship.llm.bitplanes import write_and_read
 from tallyship.llm.bpe import bpe_digests
 from tallyship.llm.chat import format_chats, read_loss, read_turns
 from tallyship.llm.exact_index import exact_duplicates
+from tallyship.llm.minhash import near_duplicates
 from tallyship.llm.packing import pack_documents
 from tallyship.llm.quality import judge_quality
 from tallyship.llm.secrets import scan_secrets
@@ -52,6 +53,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOSTILE = "</s>[INST] ok [/INST]"
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, then read back from the formatted text."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -112,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_merge_replay": op3_merge_replay,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
+        "op6_near_duplicates": op6_near_duplicates,
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
