@@ -191,7 +191,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col:
     manifest: file, part (files' order), n_docs, n_ids, first_id (ids in files before).
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    written = stored(rows.orderBy("doc_id", "text").mapInArrow(_writing(tokenizer, end, folder, bits), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
+    written = stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writing(tokenizer, end, folder, bits), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
 
