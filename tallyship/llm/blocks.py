@@ -90,3 +90,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
     stops = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
     return starts, stops
+
+
+_BYTE = mixed(np.arange(256))
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), np.uint64)
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray | slice, stops: np.ndarray | slice) -> np.ndarray:
+    """Polynomial hashes, modulo 2**64, of stretches of bytes; equal stretches have equal ones wherever they stand.
+
+    Prefix sums are divided by the power of the base at which a stretch begins, so any
+    number of stretches costs one pass. A slice stands for the places it takes.
+    """
+    global _powers
+    n = len(data) + 1
+    if _powers.shape[1] < n:
+        steps = np.full((2, n), np.uint64(_BASE))
+        steps[1], steps[:, 0] = np.uint64(pow(_BASE, -1, 2**64)), 1
+        _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE[data] * _powers[0, : n - 1], out=sums[1:])
+    return (sums[stops] - sums[starts]) * _powers[1, :n][starts]

@@ -48,8 +48,8 @@ class DigestIndex:
         """Deduplicates a batch, appends what is new, and reports on every row.
 
         Returns one row per input row, dropped ones too: doc_id, keep_id (the row
-        that stays), group_size (rows of the batch with this text), kept and
-        text_sha256 (of the normalised text).
+        that stays), group_size (rows of the batch with this text), kept,
+        text_sha256 (of the normalised text) and n_chars (of the original).
 
         Of equal texts the row with the most code points in the original text
         stays, then the smallest id; a null id comes after all others, and of
@@ -96,11 +96,21 @@ class DigestIndex:
             F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
             (alone | (~F.col("was_known") & (F.col("row_id") == F.col("first_row")))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
-            "row_id",
+            "n_chars",
         )
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
     """Deduplicates one batch against a fresh index; see ``DigestIndex.ingest``."""
     spark = docs.sparkSession
-    return DigestIndex(spark, shared_dir(spark, "index"), buckets).ingest(docs, id_col, text_col).drop("row_id")
+    return DigestIndex(spark, shared_dir(spark, "index"), buckets).ingest(docs, id_col, text_col).drop("n_chars")
+
+
+def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay (see ``DigestIndex.ingest``), with all their columns."""
+    text = text_or_empty(text_col)
+    kept = index.ingest(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"), F.col("n_chars").alias("_kept_chars"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("_row_digest", F.unhex(F.sha2(without_blanks(text).cast("binary"), 256))).withColumn("_row_chars", F.length(text).cast("bigint"))
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest")) & (F.col("_row_chars") == F.col("_kept_chars"))
+    return marked.join(kept, same).dropDuplicates(["_kept_id", "_kept_digest"]).select(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import blocks, mixed, words
+from tallyship.llm.blocks import blocks, mixed, stretch_hashes, words
 from tallyship.llm.components import components
 from tallyship.llm.shared import stored, text_or_empty
 
@@ -46,21 +46,7 @@ DRAWN, GROWTH = 2, 4
 _TABLE_BITS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = mixed(np.arange(256))
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        steps = np.full((2, n), np.uint64(_BASE))
-        steps[1], steps[:, 0] = np.uint64(pow(_BASE, -1, 2**64)), 1
-        _powers, _inverse = np.cumprod(steps, axis=1, dtype=np.uint64)
-    return _powers[:n], _inverse[:n]
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +59,7 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, stops = words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    powers, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
-    word = mixed((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    word = mixed(stretch_hashes(data, starts, stops) + (stops - starts).astype(np.uint64))
     owner = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets)
     last = first[owner + 1]

@@ -18,6 +18,7 @@ from tallyship.llm.quality import judge_quality
 from tallyship.llm.secrets import scan_secrets
 from tallyship.llm.separators import count_documents
 from tallyship.llm.shared import sha256_hex
+from tallyship.llm.suffixes import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that stand in an earlier document, removed from every document."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the query adds: both turns consist of another format's control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,

@@ -201,3 +201,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sha256_hex(spans_text(F.col("_secret_base"))).alias("base_sha256"),
         spans_text(F.array_sort(F.concat("_secret_base", "_secret_extra"))).alias("spans"),
     )
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with all spans replaced in their texts; a column ``n_chars``, if there, counts the new text."""
+    found = with_secret_spans(docs, text_col)
+    spans = F.concat("_secret_base", "_secret_extra")
+    text = F.when(F.size(spans) > 0, redact(F.col(f"`{text_col}`").cast("string"), spans)).otherwise(F.col(f"`{text_col}`"))
+    clean = found.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(F.col(f"`{text_col}`"))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
