@@ -1 +1,14 @@
+"""Queries that apply the library's operators to the test tables."""
 
+from tallyship.plans import decisions, scans, windows
+from tallyship.plans.registry import ORACLES, QUERIES
+
+GROUPS = (windows, scans, decisions)
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)
