@@ -41,9 +41,9 @@ def push_plan(manifests: DataFrame, tags: Column) -> DataFrame:
 
 def delete_plan(digests: DataFrame, live: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Link operations that delete revisions (ns, digest): the revision, every tag that points at it, and its edges."""
-    own = digests.select("ns", "digest", F.lit("revision").alias("kind"), F.col("digest").alias("name"))
+    own = digests.select("ns", "digest", F.lit("revision").alias("kind"), F.col("digest").cast("string").alias("name"))
     tags = live.join(digests, ["ns", "digest"], "left_semi").select("ns", "digest", F.lit("tag").alias("kind"), F.col("tag").alias("name"))
-    out = edge_rows.join(digests, ["ns", "digest"], "left_semi").select("ns", "digest", "kind", F.col("target").alias("name"))
+    out = edge_rows.join(digests, ["ns", "digest"], "left_semi").select("ns", "digest", "kind", F.col("target").cast("string").alias("name"))
     return own.unionByName(tags).unionByName(out)
 
 
