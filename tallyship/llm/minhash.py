@@ -8,12 +8,13 @@
 2. For each of 48 hash functions a text samples one (shingle, quantised weight) so
    that two texts agree with the probability of their weighted Jaccard similarity.
    Bands of four samples put texts into buckets. Equal texts are one node.
-3. Within each bucket a few nodes, drawn by hash, are compared with all others; the
-   links found join nodes into components. Next rounds draw more nodes, and compare
-   them only with nodes of other components, until every node of a bucket has been
-   drawn or the bucket is one component. So no link that a full comparison of the
-   buckets finds between components is lost, and work stays in proportion to a
-   bucket's size unless its texts differ.
+3. In a small bucket every two nodes are compared. In a larger one 256 nodes, drawn by
+   hash, are compared with all the others, and the links found join nodes into
+   components; then every node outside the bucket's main component is compared with
+   all of the bucket. So no link between components is lost, and work stays in
+   proportion to a bucket's size unless its texts are unlike. Comparisons of a larger
+   bucket are dealt out as blocks of 256 by 256 texts, of which each is one product of
+   matrices and gives no more rows than it has texts.
 4. A comparison computes the weighted Jaccard similarity from the two whole texts.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import blocks, mixed, stretch_hashes, words
+from tallyship.llm.blocks import blocks, flat, mixed, stretch_hashes, words
 from tallyship.llm.components import components
 from tallyship.llm.shared import stored, text_or_empty
 
@@ -40,8 +41,11 @@ SKETCH_ROWS, SKETCH_BITS, COMMON, LEAST_IDF = 2, 16, 0.1, 0.5
 #: Bits of a shingle's hash; the others of a 64-bit key number the text in its block.
 HASH_BITS = np.uint64(48)
 
-#: Nodes of a bucket that are compared with the rest of it in the first round, and the growth from round to round.
-DRAWN, GROWTH = 2, 4
+#: Nodes of a bucket up to which every two are compared by themselves, and nodes of a block.
+SMALL, BLOCK = 16, 256
+
+#: Shingles that a block's matrices have at once.
+COLUMNS = 4096
 
 _TABLE_BITS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -212,6 +216,63 @@ def _comparing(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return compare
 
 
+def _features(texts: pa.Array, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature and weight; the k-th occurrence of a shingle is a feature, so that shared ones add up to the least tf."""
+    keys, tf = shingle_keys(*flat(texts))
+    each = np.repeat(np.arange(len(keys)), tf)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(tf) - tf, tf)
+    shingles = _hash_of(keys)
+    one = weights.of(shingles, np.ones(len(keys), np.int64)).astype(np.float64)
+    return (keys >> HASH_BITS).astype(np.int64)[each], mixed(shingles[each] + (nth.astype(np.uint64) << HASH_BITS)), one[each]
+
+
+def _joining(weights: Weights, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares the drawn nodes of a block with its others; gives a and b, each node linked in it and the first of those it is connected to."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        is_drawn = table.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        text, feature, weight = _features(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()), weights)
+        total = np.bincount(text, weight, len(node))
+        kinds, number, count = np.unique(feature, return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        text, number, weight = text[shared], number[shared], weight[shared]
+        column = np.cumsum(count > 1) - 1
+        number = column[number]
+        order = np.argsort(number, kind="stable")
+        text, number, weight = text[order], number[order], weight[order]
+        rows_d, rows_m = np.flatnonzero(is_drawn), np.flatnonzero(~is_drawn)
+        place = np.empty(len(node), np.int64)
+        place[rows_d], place[rows_m] = np.arange(len(rows_d)), np.arange(len(rows_m))
+        both = np.zeros((len(rows_d), len(rows_m)))
+        last = int(number[-1]) + 1 if len(number) else 0
+        for begin in range(0, last, COLUMNS):
+            part = slice(*np.searchsorted(number, [begin, begin + COLUMNS]))
+            own, col, w = text[part], number[part] - begin, weight[part]
+            d, m = np.zeros((len(rows_d), COLUMNS)), np.zeros((len(rows_m), COLUMNS))
+            in_d = is_drawn[own]
+            d[place[own[in_d]], col[in_d]] = w[in_d]
+            m[place[own[~in_d]], col[~in_d]] = 1
+            both += d @ m.T
+        similar = both / np.maximum(total[rows_d][:, None] + total[rows_m][None, :] - both, 1e-12) >= similarity - 1e-9
+        similar &= (label[rows_d][:, None] != label[rows_m][None, :]) & (node[rows_d][:, None] != node[rows_m][None, :])
+        if not similar.any():
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        none = np.iinfo(np.int64).max
+        up_d, up_m = node[rows_d].copy(), node[rows_m].copy()
+        while True:  # the smallest node of each component inside the block
+            next_m = np.minimum(up_m, np.where(similar, up_d[:, None], none).min(axis=0))
+            next_d = np.minimum(up_d, np.where(similar, next_m[None, :], none).min(axis=1))
+            if (next_m == up_m).all() and (next_d == up_d).all():
+                break
+            up_d, up_m = next_d, next_m
+        a, b = np.concatenate([node[rows_d], node[rows_m]]), np.concatenate([up_d, up_m])
+        return pa.Table.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    return join
+
+
 def _nodes(signed: DataFrame, salts: int) -> DataFrame:
     """Distinct texts: digest, node, id of the first document, number of copies, bands, and the salts of its rows."""
     once = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
@@ -224,11 +285,10 @@ def _digest(text_col: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, salts: int = 64) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, digest (of its text) and label (its class's number).
+    """One row per document: doc_id, class_id, class_size, digest (of its text) and label (its class's number).
 
     A class is a component of links between texts whose weighted Jaccard similarity
-    is ``similarity`` or more, and class_id the smallest document id in it; n_links
-    counts the links found from this text to different texts. Equal texts are always
+    is ``similarity`` or more, and class_id the smallest document id in it. Equal texts are always
     in one class, those without words too; a null text counts as empty. A null id
     gives way to any other as class_id. Repeated rows each get their row; no rows
     give no rows. Texts are compared whole. Only the two columns are read.
@@ -246,35 +306,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(banded.join(spread, ["band", "hash", "node_salt"]).select(F.xxhash64("band", "hash").alias("bucket"), "node", "size", dealt.alias("place")), "members")
     texts = _texts(rows, nodes, members)
 
-    low, high = 0, DRAWN
-    links, labels = None, None
-    while True:
-        if labels is None:
-            placed = members.withColumn("label", F.col("node"))
-        else:
-            placed = stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
-            mixed_up = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("size").alias("size")).where((F.col("x") != F.col("y")) & (F.col("size") > low))
-            if mixed_up.isEmpty():
-                break
-        drawn = placed.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
-        pairs = drawn.join(placed.where(F.col("place") >= low), "bucket").where((F.col("x_label") != F.col("label")) & (F.col("x") != F.col("node")))
-        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        compared = stored(_compare(pairs, texts, weights), "compared")
-        found = compared.where(F.col("similarity") >= similarity - 1e-9).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        tested = compared.select("a", "b") if low == 0 else tested.unionByName(compared.select("a", "b"))
-        labels = components(links)
-        low, high = high, high * (GROWTH + 1)
+    small = members.where(F.col("size") <= SMALL)
+    other = small.select("bucket", F.col("node").alias("other"))
+    pairs = small.join(other, "bucket").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    links = stored(_compare(pairs, texts, weights), "compared").where(F.col("similarity") >= similarity - 1e-9).select("a", "b")
 
-    counted = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = stored(nodes.select("digest", "node", "first_id", "copies", "salts").join(labels, "node", "left").join(counted, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
+    large = members.where(F.col("size") > SMALL)
+    for step in ("drawn", "apart"):
+        labels = components(links)
+        placed = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+        counted = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        mixed_up = stored(counted.where((F.col("most") < F.col("all")) & (F.col("all") > (0 if step == "drawn" else BLOCK))), "mixed-buckets")
+        if mixed_up.isEmpty():
+            break
+        blocks_of = placed.join(mixed_up, "bucket")
+        across = F.ceil(F.col("all") / BLOCK)
+        if step == "drawn":
+            chosen, down = F.col("place") < BLOCK, F.lit(1).cast("bigint")
+        else:
+            chosen, down = F.col("label") != F.col("main"), F.ceil((F.col("all") - F.col("most")) / BLOCK)
+        share = F.col("place") / F.col("size")
+        at = lambda n: F.least(F.floor(share * n), n - 1)
+        drawn = blocks_of.where(chosen).select("bucket", at(down).alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), across - 1)).alias("x"), "node", "label", F.lit(True).alias("drawn"))
+        others = blocks_of.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), down - 1)).alias("y"), at(across).alias("x"), "node", "label", F.lit(False).alias("drawn"))
+        dealt_out = drawn.unionByName(others).join(texts, "node")
+        found = dealt_out.groupBy("bucket", "y", "x").applyInArrow(_joining(weights, similarity), "a bigint, b bigint")
+        links = links.unionByName(stored(found, "joined"))
+    labels = components(links)
+
+    classed = stored(nodes.select("digest", "node", "first_id", "copies", "salts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
     whole = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.collect_set(F.pmod(F.hash("node"), F.lit(salts))).alias("label_salts"))
     shared = whole.select("label", "class_id", "class_size", F.explode("label_salts").alias("label_salt"))
     by_text = classed.withColumn("label_salt", F.pmod(F.hash("node"), F.lit(salts))).join(shared, ["label", "label_salt"])
-    verdict = by_text.select("digest", "label", F.explode("salts").alias("salt"), "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-    return signed.join(verdict, ["digest", "salt"]).select("doc_id", "class_id", "class_size", "n_links", "digest", "label")
+    verdict = by_text.select("digest", "label", F.explode("salts").alias("salt"), "class_id", "class_size")
+    return signed.join(verdict, ["digest", "salt"]).select("doc_id", "class_id", "class_size", "digest", "label")
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ HOSTILE = "</s>[INST] ok [/INST]"
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 
+from tallyship.llm import minhash
 from tallyship.llm.components import components
 from tallyship.llm.minhash import Sampler, Weights, keep_one_of_each, near_duplicates, shingle_keys
 from tallyship.llm.blocks import prefix
@@ -97,8 +99,11 @@ def test_edges(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [kept[0].__class__(doc_id=i, text=t) for i, t in rows[1:2] + rows[3:]]))
 
 
-def test_large_bucket_of_unlike_texts_loses_no_link(spark):
+@pytest.mark.parametrize("sizes", [(minhash.SMALL, minhash.BLOCK), (2, 8), (2, 64)])
+def test_large_bucket_of_unlike_texts_loses_no_link(spark, monkeypatch, sizes):
     """Texts that share most shingles but are under the limit of one another, with one true pair among them."""
+    monkeypatch.setattr(minhash, "SMALL", sizes[0])
+    monkeypatch.setattr(minhash, "BLOCK", sizes[1])
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     texts = []
