@@ -1,9 +1,9 @@
 """Queries that apply the library's operators to the test tables."""
 
-from tallyship.plans import decisions, joins, scans, tables, windows
+from tallyship.plans import decisions, joins, scans, streams, tables, windows
 from tallyship.plans.registry import ORACLES, QUERIES
 
-GROUPS = (windows, scans, decisions, joins, tables)
+GROUPS = (windows, scans, decisions, joins, tables, streams)
 
 
 def queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ BOUNDS = "".join(sorted("-_" + "0123456789" + "abcdefghijklmnopqrstuvwxyz" + "AB
 def files(spark: SparkSession, root: str) -> DataFrame:
     """A folder of any file system that Spark reads, as objects: key, size, modified time; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    inside = F.regexp_replace("path", r"^.*?" + root.rstrip("/").rpartition("/")[2] + "/", "")
+    bare = re.sub(r"^[a-z0-9]+:/+(?=/)", "", root.rstrip("/"))  # file systems spell the front of a path in several ways
+    inside = F.regexp_replace("path", r"^.*?" + re.escape(bare) + "/", "")
     return found.select(inside.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
 
 
