@@ -103,3 +103,8 @@ def hmac_sha256(key: str):
         return body.map(lambda b: None if b is None else hmac.new(key.encode(), b.encode(), hashlib.sha256).hexdigest())
 
     return sign
+
+
+def hasher_state(text: Column) -> Column:
+    """The bytes of a stored hasher checkpoint, null if it is not base64."""
+    return F.try_to_binary(text, F.lit("base64"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_PAGE = 100
@@ -61,3 +61,10 @@ def known_empty(tags: DataFrame, revisions: DataFrame, names: DataFrame, key: st
     t = tags.select(key).distinct().withColumn("_t", F.lit(True))
     r = revisions.select(key).distinct().withColumn("_r", F.lit(True))
     return names.join(t, key, "left").join(r, key, "left").select(key, (F.col("_t").isNotNull() | F.col("_r").isNotNull()).alias("known"))
+
+
+def display_order(roots: DataFrame) -> DataFrame:
+    """Roots with ``position``: tagged ones first by their first tag, then the others by digest; the order is that of bytes."""
+    first = F.array_min("tags")
+    order = Window.partitionBy("ns").orderBy(F.when(first.isNull(), 1).otherwise(0), first, "digest")
+    return roots.withColumn("position", F.row_number().over(order))

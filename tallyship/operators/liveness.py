@@ -143,3 +143,17 @@ def smallest_other_namespace(refs: DataFrame, except_for: str) -> DataFrame:
 def reference_sets(refs: DataFrame) -> DataFrame:
     """For each blob and namespace the sorted set of entries."""
     return refs.groupBy("digest", "ns").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+
+
+def blocked_by_collection(digests: DataFrame, markers: DataFrame, now_ms: int) -> DataFrame:
+    """Digests that a collector's run covers: between a marker's ends, both included, while it has not expired.
+
+    Markers are a handful, one per running collector; each speaks for a range of one
+    algorithm's hashes, so ranges are matched within their first two digits.
+    """
+    valid = markers.where(F.col("expires_ms") >= now_ms)
+    shard = lambda c: F.conv(F.substring(F.split_part(c, F.lit(":"), F.lit(2)), 1, 2), 16, 10).cast("int")
+    spread = valid.select("first", "last", F.split_part("first", F.lit(":"), F.lit(1)).alias("_alg"), F.explode(F.sequence(shard(F.col("first")), shard(F.col("last")))).alias("_shard"))
+    keyed = digests.select("*", F.split_part("digest", F.lit(":"), F.lit(1)).alias("_alg"), shard(F.col("digest")).alias("_shard"))
+    inside = (F.col("digest") >= F.col("first")) & (F.col("digest") <= F.col("last"))
+    return keyed.join(spread, ["_alg", "_shard"]).where(inside).select(*digests.columns).distinct()

@@ -85,3 +85,15 @@ def breaker_states(calls: DataFrame, key: str, threshold: int, cooldown_ms: int)
     last = F.max(F.when(~F.col("ok"), F.col("ms"))).over(same)
     state = F.when(streak < threshold, "closed").when(F.col("ms") - last >= cooldown_ms, "half_open").otherwise("open")
     return marked.withColumn("failures", streak).withColumn("state", state).drop("_run")
+
+
+def cached_decisions(calls: DataFrame, headers: list[str], ttl_ms: int) -> DataFrame:
+    """Authorization calls (ms, status, header columns) with the key of their forwarded headers and whether an earlier answer serves.
+
+    Only an allow (200), a 401 and a 403 are kept, for ``ttl_ms`` after the call.
+    """
+    text = F.concat_ws("\n", *(F.concat(F.lit(f"{h}="), F.coalesce(F.col(h).cast("string"), F.lit(""))) for h in sorted(headers)))
+    keyed = calls.withColumn("cache_key", F.sha2(text.cast("binary"), 256))
+    order = Window.partitionBy("cache_key").orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.max(F.when(F.col("status").isin(200, 401, 403), F.col("ms"))).over(order)
+    return keyed.withColumn("served", F.coalesce(F.col("ms") - kept < ttl_ms, F.lit(False)))

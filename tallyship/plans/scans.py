@@ -264,3 +264,15 @@ def k10_quarantine(t: Tables) -> DataFrame:
 def k9_exposition(t: Tables) -> DataFrame:
     counts = t.events.groupBy(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("big")).agg(F.count(F.lit(1)).alias("value"))
     return N.exposition(counts, "events_total", ["kind", "big"])
+
+
+@query("""SELECT event_id, concat('replication.push.d', event_id % 3, ':a/b:', event_type) AS push, concat('replication.delete.d', event_id % 3, ':a/b:', event_type, CASE WHEN event_id % 2 = 0 THEN concat('@', event_id) ELSE '' END) AS delete,
+  'a/b' AS ns, concat('s', event_id) AS session, CASE WHEN event_id % 5 > 0 THEN concat('state', event_id) END AS state, CASE WHEN event_id % 5 > 0 THEN 'a/b%c' END AS shard FROM events""")
+def f20_lock_and_upload_keys(t: Tables) -> DataFrame:
+    n, d, k = F.col("event_id").cast("string"), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")), F.col("event_id") % 5 > 0
+    up = K.upload_key(F.concat(F.lit("v2/repositories/a/b/_uploads/s"), n, F.lit("/staged/5")))
+    state = F.when(k, F.base64(F.concat(F.lit("state"), n).cast("binary"))).otherwise("*not base64*")
+    return t.events.select(
+        "event_id", K.push_lock(F.lit("a/b"), F.col("event_type"), d).alias("push"), K.delete_lock(F.lit("a/b"), F.col("event_type"), d, F.when(F.col("event_id") % 2 == 0, F.col("event_id"))).alias("delete"),
+        up.alias("u"), C.hasher_state(state).cast("string").alias("state"), F.when(k, K.shard_namespace(F.lit("a%2Fb%25c.json"))).alias("shard"),
+    ).select("event_id", "push", "delete", "u.ns", "u.session", "state", "shard")

@@ -197,3 +197,25 @@ def t11_resolve_at_run_time(t: Tables) -> DataFrame:
 @query(with_sql("pulls", "SELECT DISTINCT ns, tag, ms - ms % 86400000 AS day, client FROM pulls"))
 def t13_recorded_pulls(t: Tables) -> DataFrame:
     return t.pulls().select("ns", "tag", (F.col("ms") - F.col("ms") % 86_400_000).alias("day"), "client").dropDuplicates(["ns", "tag", "day", "client"])
+
+
+@query(with_sql("tag_events winners live", "SELECT ns, digest, row_number() OVER (PARTITION BY ns ORDER BY CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN event_id % 2 = 0 THEN tag END, digest) AS position FROM live"))
+def l6_display_order(t: Tables) -> DataFrame:
+    live = R.live_tags(t.tag_events())
+    roots = live.select("ns", "digest", F.when(F.col("event_id") % 2 == 0, F.array("tag")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    return L.display_order(roots).select("ns", "digest", "position")
+
+
+@query(with_sql("tag_events", "SELECT event_id FROM tag_events WHERE digest BETWEEN concat('sha256:', repeat('3', 64)) AND concat('sha256:', repeat('5', 64)) OR digest BETWEEN concat('sha256:', repeat('a', 64)) AND concat('sha256:', repeat('b', 64))"))
+def p16_collection_ranges(t: Tables) -> DataFrame:
+    full = lambda d: f"sha256:{d * 64}"
+    rows = [(full("3"), full("5"), 10), (full("a"), full("b"), 11), (full("c"), full("d"), 9)]
+    markers = t.spark.createDataFrame(rows, "first string, last string, expires_ms bigint")
+    return V.blocked_by_collection(t.tag_events().select("event_id", "digest"), markers, 10).select("event_id")
+
+
+@query(with_sql("tag_events", """SELECT event_id, coalesce(ms - kept < 7200000, false) AS served FROM (SELECT event_id, ms, max(CASE WHEN tag IN ('view', 'click', 'error') THEN ms END) OVER (PARTITION BY user_id % 50 ORDER BY ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM tag_events)"""))
+def t9_decision_cache(t: Tables) -> DataFrame:
+    status = F.when(F.col("tag") == "view", 200).when(F.col("tag") == "click", 401).when(F.col("tag") == "error", 403).otherwise(500)
+    calls = t.tag_events().select("event_id", "ms", status.alias("status"), (F.col("user_id") % 50).alias("authorization"), F.lit(None).cast("string").alias("cookie"))
+    return Q.cached_decisions(calls, ["cookie", "authorization"], 7_200_000).select("event_id", "served")
