@@ -21,13 +21,15 @@ LARGE = 2048
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next; the last is larger than the empty one."""
-    n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return step[nearest] > 0
+    rises = np.zeros(len(text), bool)
+    rises[:-1] = text[1:] > text[:-1]
+    differs = np.ones(len(text), bool)
+    differs[:-1] = text[1:] != text[:-1]
+    level = np.flatnonzero(~differs)  # before an equal character: as the next that differs
+    if len(level):
+        at = np.flatnonzero(differs)
+        rises[level] = rises[at[np.searchsorted(at, level)]]
+    return rises
 
 
 def _append(parts: dict[int, list[np.ndarray]], text: np.ndarray, places: np.ndarray) -> None:
@@ -54,7 +56,7 @@ def _scan(parts: dict[int, list[np.ndarray]], c: int, text: np.ndarray, wanted:
         same = text[before] == c
         wave = [before[same]] if same.any() else []
         _append(parts, text, before[~same])
-    return np.concatenate(done) if done else np.zeros(0, np.int64)
+    return np.concatenate(done) if done else np.zeros(0, np.int32)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     heads: dict[int, list[np.ndarray]] = {}
     _append(heads, text, lms)
     larger: dict[int, list[np.ndarray]] = {}
-    _append(larger, text, np.array([len(text) - 1]))
+    _append(larger, text, np.array([len(text) - 1], lms.dtype))
     found: dict[int, np.ndarray] = {}
     for c in chars:
         found[c] = _scan(larger, c, text, ~small)
@@ -89,7 +91,7 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         if width < n:
             behind[:-width] = rank[width:] + 1
         key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
         rank = np.empty(n, np.int64)
@@ -105,7 +107,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 3 or int(text.max()) > LARGE:
         return _doubled(text) if n else np.zeros(0, np.int64)
     small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32 if n < 2**31 else np.int64) + 1
     if len(lms) > 1:
         order = _induce(text, small, lms)
         is_lms = np.zeros(n, bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,10 +32,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     not the work before it.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results have been stored.
+
+    Spark drops them once nothing refers to the steps any more, but finds that out only
+    when the driver collects its garbage, which an idle driver rarely does. The last
+    execution is still referred to until another has followed it.
+    """
+    for _ in range(2):
+        spark.range(1).count()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str) -> Column:
     """The named column as a string, null read as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

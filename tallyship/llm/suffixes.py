@@ -10,7 +10,7 @@ that two different texts share.
 2. Texts with shared minimizers give pieces: the bytes of all windows that have the
    minimizer. Where one occurs in so many texts that its pieces could crowd a task,
    every window is a piece by itself. Equal pieces are one, with the smallest document.
-3. Pieces of a minimizer meet in a shard. Its suffix array is made by induced sorting,
+3. Pieces of a minimizer meet in a shard. The shard's suffix array is made by induced sorting,
    and permuted common prefixes tell which windows are equal, and so the smallest
    document of each.
 4. Windows of later documents are removed from their texts, overlapping ones together.
@@ -25,12 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyship.llm.blocks import blocks, flat, mixed, prefix, stretch_hashes
 from tallyship.llm.induced import repeated_windows
-from tallyship.llm.shared import sha256_hex, stored, text_or_empty
+from tallyship.llm.shared import release, sha256_hex, stored, text_or_empty
 
 #: Bytes of a string, of what is hashed in it, and places of the hashed stretch in a string.
 WIDTH, STRETCH = 50, 20
@@ -40,7 +41,7 @@ SPREAD = WIDTH - STRETCH + 1
 CROWD, CROWD_SHARE = 4000, 1e-4
 
 #: Bytes of text of which a task holds the minimizers at once, and aims for a bucket and a shard.
-UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 64 << 20, 4 << 20, 4 << 20
+UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20, 4 << 20
 
 _LAST = 2**63 - 1  # stands for a null document id, after all others
 
@@ -93,7 +94,7 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             by = np.argsort(text[many], kind="stable")
             whose, what = text[many][by], hashed[many][by]
             edges = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
-            yield _rows(whose[edges], np.full(len(edges), -1), [x.tobytes() for x in np.split(what, edges[1:])], [b""] * len(edges))
+            yield _rows(whose[edges], -1 - whose[edges] % (1 << bits), [x.tobytes() for x in np.split(what, edges[1:])], [b""] * len(edges))
         one, group = ~many, count > 1
         multi, times = hashed[first][group], count[group]
         single, owner = hashed[one], text[one]
@@ -134,9 +135,11 @@ def _rows(d48: np.ndarray, bucket: np.ndarray, hashes: list[bytes], known: list[
 
 
 def _meeting(bits: int, crowd: int) -> Callable[[pa.Table], pa.Table]:
-    """In a bucket: the texts' shared minimizers, and those of a crowd of texts (d48 -1)."""
+    """In a bucket: the texts' shared minimizers, and those of a crowd of texts (d48 -1). Lists for texts that are known already pass."""
 
     def meet(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["d48", "hashes"])
         bucket = np.uint64(table.column("bucket")[0].as_py())
         mine = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 11)
         wide = np.zeros((2, len(mine), 8), np.uint8)
@@ -196,58 +199,68 @@ def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return rows, start, length, keys
 
 
-def _piece_bytes(block, start: np.ndarray, length: np.ndarray) -> list[bytes]:
-    data = block.data.tobytes()
-    return [data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+def _piece_id(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
 
 
-def _emitting(bits: int, hot: np.ndarray, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pieces with their document's order, equal ones of a block once (whole); or where each stands in its text."""
+def _emitting(bits: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Where every piece stands in its text; of equal pieces of a block the first row has the bytes, and the least and greatest document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
             row, start, length, key = _pieces(block, bits, hot)
             if not len(row):
                 continue
-            pieces = _piece_bytes(block, start, length)
-            ord_ = block.rows.column("ord").to_numpy()[row]
-            if whole:
-                coded = pa.array(pieces, pa.binary()).dictionary_encode()
-                number = coded.indices.to_numpy()
-                low, high = np.full(len(coded.dictionary), _LAST), np.full(len(coded.dictionary), -_LAST)
-                np.minimum.at(low, number, ord_)
-                np.maximum.at(high, number, ord_)
-                own = np.zeros(len(low), np.uint64)
-                own[number] = key
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(own.view(np.int64)), pa.array(low), pa.array(high)], names=["piece", "key", "low", "high"])
-            else:
-                ids = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
-                place = start - block.offsets[row]
-                d48 = block.rows.column("d48").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(ord_), pa.array(d48), pa.array(place)], names=["piece_id", "ord", "d48", "place"])
+            data, ord_ = block.data.tobytes(), block.rows.column("ord").to_numpy()[row]
+            coded = pa.array([data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)], pa.binary()).dictionary_encode()
+            number, n = coded.indices.to_numpy(), len(coded.dictionary)
+            low, high = np.full(n, _LAST), np.full(n, -_LAST)
+            np.minimum.at(low, number, ord_)
+            np.maximum.at(high, number, ord_)
+            ids = pa.array([_piece_id(p) for p in coded.dictionary.to_pylist()], pa.binary())
+            at = pa.array(number)
+            first = np.zeros(len(row), bool)
+            first[np.unique(number, return_index=True)[1]] = True
+            only = lambda x: pc.if_else(pa.array(first), x, pa.scalar(None, x.type))
+            columns = {
+                "piece_id": ids.take(at), "ord": pa.array(ord_), "d48": pa.array(block.rows.column("d48").to_numpy()[row]), "place": pa.array(start - block.offsets[row]),
+                "piece": only(coded.dictionary.take(at)), "key": pa.array(key.view(np.int64)), "low": only(pa.array(low[number])), "high": only(pa.array(high[number])),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return emit
 
 
+_EMITTED = "piece_id binary, ord bigint, d48 bigint, place bigint, piece binary, key bigint, low bigint, high bigint"
+
+
 def _sorting(table: pa.Table) -> pa.Table:
-    """In a shard: runs of windows of a piece that stand in an earlier document than the piece's last."""
-    column = table.column("piece").combine_chunks()
-    low, high = (table.column(c).to_numpy() for c in ("low", "high"))
-    data, offsets = flat(column)
+    """In a shard: runs of windows of a piece that stand in an earlier document than the piece's last.
+
+    The only piece of a minimizer has nothing to be compared with, so it stays out of the array.
+    """
+    low, high, key = (table.column(c).to_numpy() for c in ("low", "high", "key"))
+    piece = table.column("piece").combine_chunks()
+    lengths = pc.binary_length(piece).to_numpy(zero_copy_only=False)
+    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[number] > 1)
+    lone = np.flatnonzero((times[number] == 1) & (low < high))
+    data, offsets = flat(piece.take(pa.array(several)))
     counts = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    offset, number = repeated_windows(data, offsets, WIDTH)
-    least = np.full(int(number.max(initial=-1)) + 1, _LAST)
-    np.minimum.at(least, number, low[owner])
-    first_in = least[number]
+    owner = np.repeat(several, counts)
+    offset, group = repeated_windows(data, offsets, WIDTH)
+    least = np.full(int(group.max(initial=-1)) + 1, _LAST)
+    np.minimum.at(least, group, low[owner])
+    first_in = least[group]
     change = np.append(True, (owner[1:] != owner[:-1]) | (first_in[1:] != first_in[:-1]))[: len(owner)]
     begin = np.flatnonzero(change)
     stop = np.append(begin[1:], len(owner))[: len(begin)] - 1
     later = first_in[begin] < high[owner[begin]]
     begin, stop = begin[later], stop[later]
-    texts = column.take(pa.array(owner[begin])).to_pylist()
-    ids = [hashlib.blake2b(p, digest_size=16).digest() for p in texts]
-    return pa.Table.from_arrays([pa.array(ids, pa.binary()), pa.array(offset[begin]), pa.array(offset[stop]), pa.array(first_in[begin])], names=["piece_id", "from", "to", "first_ord"])
+    whose = piece.take(pa.array(np.concatenate([owner[begin], lone]))).to_pylist()
+    ids = pa.array([_piece_id(p) for p in whose], pa.binary())
+    start, last = np.concatenate([offset[begin], np.zeros(len(lone), np.int64)]), np.concatenate([offset[stop], lengths[lone] - WIDTH])
+    return pa.Table.from_arrays([ids, pa.array(start), pa.array(last), pa.array(np.concatenate([first_in[begin], low[lone]]))], names=["piece_id", "from", "to", "first_ord"])
 
 
 def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +281,7 @@ def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For documents (doc_id, text): all rows with their digests; texts with shared minimizers; their windows to remove."""
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text", F.unhex(sha256_hex(F.col("text"))).alias("digest")).withColumn("d48", _d48(F.col("digest")))
     rows = stored(keyed.select("doc_id", "ord", "digest", "d48", F.octet_length("text").cast("bigint").alias("n_bytes"), F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")), "texts")
     size = rows.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("rows")).first()
@@ -275,22 +289,29 @@ def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFr
     bits = min(16, max(5, (total // 16 // BUCKET_BYTES * 11).bit_length()))
     crowd = max(CROWD, int(CROWD_SHARE * size.rows))
 
-    gathered = stored(keyed.select("d48", "text").mapInArrow(_gathering(bits), "d48 bigint, bucket bigint, hashes binary, known binary"), "minimizers")
-    met = stored(gathered.where("bucket >= 0").groupBy("bucket").applyInArrow(_meeting(bits, crowd), "d48 bigint, hashes binary"), "met")
+    gathered = keyed.select("d48", "text").mapInArrow(_gathering(bits), "d48 bigint, bucket bigint, hashes binary, known binary")
+    met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "d48 bigint, hashes binary"), "met")
+    release(spark)
     # at most a number that depends on texts' lengths over CROWD_SHARE, however many texts there are
     hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("d48 = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
-    told = gathered.where("bucket < 0").select("d48", "hashes").unionByName(met.where("d48 >= 0")).groupBy("d48").agg(F.collect_list("hashes").alias("lists"))
+    told = met.where("d48 >= 0").groupBy("d48").agg(F.collect_list("hashes").alias("lists"))
     firsts = rows.groupBy("digest", "d48").agg(F.min("ord").alias("first_ord")).withColumnRenamed("digest", "first_digest")
     asked = told.join(firsts, "d48").select("first_digest", "first_ord", "lists")
     near = keyed.join(asked, (keyed["ord"] == asked["first_ord"]) & (keyed["digest"] == asked["first_digest"]))
-    texts = stored(near.select("ord", "d48", "text", "lists").dropDuplicates(["ord", "d48"]), "shared-texts")
-
-    shards = max(16, int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 3 // SHARD_BYTES))
-    pieces = texts.mapInArrow(_emitting(bits, hot, True), "piece binary, key bigint, low bigint, high bigint").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    texts = stored(near.select("ord", "digest", "d48", "text", "lists").dropDuplicates(["ord", "digest"]), "shared-texts")
+    release(spark)
+
+    emitted = stored(texts.mapInArrow(_emitting(bits, hot), _EMITTED), "pieces")
+    release(spark)
+    whole = emitted.where("piece IS NOT NULL").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shards = max(16, int((emitted.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // SHARD_BYTES))
+    sharded = whole.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     runs = stored(sharded.groupBy("shard").applyInArrow(lambda table: _sorting(table), "piece_id binary, from bigint, to bigint, first_ord bigint"), "runs")
-    stand = texts.mapInArrow(_emitting(bits, hot, False), "piece_id binary, ord bigint, d48 bigint, place bigint")
-    windows = stand.join(runs, "piece_id").where(F.col("ord") > F.col("first_ord")).select("ord", "d48", (F.col("place") + F.col("from")).alias("a"), (F.col("place") + F.col("to") + WIDTH).alias("b"))
+    release(spark)
+    stand = emitted.select("piece_id", "ord", "d48", "place").join(runs, "piece_id").where(F.col("ord") > F.col("first_ord"))
+    spans = stand.select("ord", "d48", (F.col("place") + F.col("from")).alias("a"), (F.col("place") + F.col("to") + WIDTH).alias("b"))
+    windows = stored(spans.groupBy("ord", "d48").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")
+    release(spark)
     return rows, texts, windows
 
 
@@ -306,8 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows, texts, windows = removed_windows(plain, salts)
-    gathered = windows.groupBy("ord", "d48").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
-    changed = texts.select("ord", "d48", "text").join(gathered, ["ord", "d48"]).select("ord", "d48", "text", "windows").mapInArrow(_removing, "ord bigint, d48 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    changed = texts.select("ord", "d48", "text").join(windows, ["ord", "d48"]).select("ord", "d48", "text", "windows").mapInArrow(_removing, "ord bigint, d48 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     copied = rows.groupBy("digest").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.collect_set("salt").alias("salts")).where("first_ord < last_ord")
     salted = copied.select("digest", F.explode("salts").alias("salt"), "first_ord")
     judged = rows.join(salted, ["digest", "salt"], "left").join(changed, ["ord", "d48"], "left")
