@@ -6,7 +6,8 @@ that two different texts share.
 
 1. Every text's minimizers go to buckets by hash; a bucket tells which are shared.
    Minimizers that a task has in two texts already count as shared there, so a common
-   one costs a row per task, not one per document.
+   one costs a row per task, not one per document. What a bucket tells goes to groups
+   of texts, one row for each, and not to every text by itself.
 2. Texts with shared minimizers give pieces: the bytes of all windows that have the
    minimizer. Where one occurs in so many texts that its pieces could crowd a task,
    every window is a piece by itself. Equal pieces are one, with the smallest document.
@@ -78,6 +79,36 @@ def _d48(digest: Column) -> Column:
     return F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("bigint")
 
 
+def _letters(text: np.ndarray, hashed: np.ndarray, shift: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Hashes for texts, packed by group of texts: the groups, their texts with the number of hashes of each, and the hashes."""
+    by = np.argsort(text, kind="stable")
+    text, hashed = text[by], hashed[by]
+    begin = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
+    whose, count = text[begin], np.diff(np.append(begin, len(text)))
+    group = whose >> shift
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    if not len(cut):
+        return group, [], []
+    heads = [np.stack(x).tobytes() for x in zip(np.split(whose, cut[1:]), np.split(count, cut[1:]), strict=True)]
+    return group[cut], heads, [x.tobytes() for x in np.split(hashed, begin[cut[1:]])]
+
+
+def _group_shift(bits: int) -> int:
+    """Bits of d48 below a group of texts; an eighth as many groups as buckets, since few minimizers are shared."""
+    return 48 - max(5, bits - 3)
+
+
+def _telling(table: pa.Table) -> pa.Table:
+    """In a group of texts: each text's shared minimizers together."""
+    heads = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("heads").to_pylist()]
+    whose, count = np.concatenate(heads, axis=1)
+    text, hashed = np.repeat(whose, count), np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+    by = np.argsort(text, kind="stable")
+    text, hashed = text[by], hashed[by]
+    begin = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    return pa.Table.from_arrays([pa.array(text[begin]), pa.array([x.tobytes() for x in np.split(hashed, begin[1:])], pa.binary())], names=["d48", "hashes"])
+
+
 def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shift = np.uint64(64 - bits)
 
@@ -91,10 +122,8 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         count = np.diff(np.append(np.flatnonzero(first), len(hashed)))
         many = np.repeat(count > 1, count)
         if many.any():  # shared within the task: told to the texts at once
-            by = np.argsort(text[many], kind="stable")
-            whose, what = text[many][by], hashed[many][by]
-            edges = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
-            yield _rows(whose[edges], -1 - whose[edges] % (1 << bits), [x.tobytes() for x in np.split(what, edges[1:])], [b""] * len(edges))
+            group, heads, lists = _letters(text[many], hashed[many], _group_shift(bits))
+            yield _rows(["bucket", "heads", "hashes"], -1 - group, heads, lists)
         one, group = ~many, count > 1
         multi, times = hashed[first][group], count[group]
         single, owner = hashed[one], text[one]
@@ -107,7 +136,7 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             mine = np.concatenate([low.view(np.uint8).reshape(-1, 8)[:, :5], owner[s].view(np.uint8).reshape(-1, 8)[:, :6]], axis=1)
             known = np.concatenate([((multi[m] << np.uint64(bits)) >> np.uint64(24)), times[m].astype(np.uint64)])
             packs.append((mine.tobytes(), known.tobytes()))
-        yield _rows(np.full(len(packs), -1), np.arange(len(packs)), [a for a, _ in packs], [b for _, b in packs])
+        yield _rows(["bucket", "heads", "hashes"], np.arange(len(packs)), [b for _, b in packs], [a for a, _ in packs])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -130,22 +159,22 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return gather
 
 
-def _rows(d48: np.ndarray, bucket: np.ndarray, hashes: list[bytes], known: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(d48, pa.int64()), pa.array(bucket, pa.int64()), pa.array(hashes, pa.binary()), pa.array(known, pa.binary())], names=["d48", "bucket", "hashes", "known"])
+def _rows(names: list[str], to: np.ndarray, heads: list[bytes], hashes: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(heads, pa.binary()), pa.array(hashes, pa.binary())], names=names)
 
 
 def _meeting(bits: int, crowd: int) -> Callable[[pa.Table], pa.Table]:
-    """In a bucket: the texts' shared minimizers, and those of a crowd of texts (d48 -1). Lists for texts that are known already pass."""
+    """In a bucket: shared minimizers for groups of texts, and those of a crowd of texts (group -1). What is known already passes."""
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["d48", "hashes"])
+            return pa.Table.from_arrays([pc.subtract(-1, table.column("bucket")), table.column("heads"), table.column("hashes")], names=["group", "heads", "hashes"])
         bucket = np.uint64(table.column("bucket")[0].as_py())
         mine = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 11)
         wide = np.zeros((2, len(mine), 8), np.uint8)
         wide[0, :, :5], wide[1, :, :6] = mine[:, :5], mine[:, 5:]
         low, text = wide.view(np.uint64)[0, :, 0], wide.view(np.int64)[1, :, 0]
-        known = [np.frombuffer(x, np.uint64) for x in table.column("known").to_pylist()]
+        known = [np.frombuffer(x, np.uint64) for x in table.column("heads").to_pylist()]
         known_low = np.concatenate([x[: len(x) // 2] for x in known])
         times = np.concatenate([x[len(x) // 2 :] for x in known]).astype(np.int64)
         order = np.lexsort((text, low))
@@ -156,13 +185,9 @@ def _meeting(bits: int, crowd: int) -> Callable[[pa.Table], pa.Table]:
         total = np.bincount(which[: len(low)], minlength=len(every)) + np.bincount(which[len(low) :], times, len(every)).astype(np.int64)
         shared = total[which[: len(low)]] > 1
         whole = lambda x: (bucket << np.uint64(64 - bits)) | ((x << np.uint64(24)) >> np.uint64(bits)) | np.uint64(1)
-        by = np.argsort(text[shared], kind="stable")
-        whose, what = text[shared][by], whole(low[shared][by])
-        edges = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))[: len(whose)]
         hot = whole(every[total > crowd])
-        names = np.append(whose[edges], -1)
-        lists = [x.tobytes() for x in np.split(what, edges[1:])][: len(edges)] + [hot.tobytes()]
-        return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.binary())], names=["d48", "hashes"])
+        group, heads, lists = _letters(text[shared], whole(low[shared]), _group_shift(bits))
+        return pa.Table.from_batches([_rows(["group", "heads", "hashes"], np.append(group, -1), [*heads, b""], [*lists, hot.tobytes()])])
 
     return meet
 
@@ -180,9 +205,9 @@ def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     key = hashed[at] & _same_bits(bits)
     asked = np.zeros(len(at), bool)
     edges = np.searchsorted(row, np.arange(block.rows.num_rows + 1))
-    for i, lists in enumerate(block.rows.column("lists").to_pylist()):
+    for i, hashes in enumerate(block.rows.column("hashes").to_pylist()):
         own = slice(edges[i], edges[i + 1])
-        asked[own] = np.isin(key[own], np.frombuffer(b"".join(lists), np.uint64) & _same_bits(bits))
+        asked[own] = np.isin(key[own], np.frombuffer(hashes, np.uint64) & _same_bits(bits))
     at, row, key = at[asked], row[asked], key[asked]
     padded = np.concatenate([np.zeros(SPREAD - 1, np.uint64), least, np.zeros(SPREAD, np.uint64)])
     has = np.lib.stride_tricks.sliding_window_view(padded, SPREAD)[at] == hashed[at][:, None]  # windows from at - SPREAD + 1 to at
@@ -289,16 +314,16 @@ def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFr
     bits = min(16, max(5, (total // 16 // BUCKET_BYTES * 11).bit_length()))
     crowd = max(CROWD, int(CROWD_SHARE * size.rows))
 
-    gathered = keyed.select("d48", "text").mapInArrow(_gathering(bits), "d48 bigint, bucket bigint, hashes binary, known binary")
-    met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "d48 bigint, hashes binary"), "met")
+    gathered = keyed.select("d48", "text").mapInArrow(_gathering(bits), "bucket bigint, heads binary, hashes binary")
+    met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "group bigint, heads binary, hashes binary"), "met")
     release(spark)
     # at most a number that depends on texts' lengths over CROWD_SHARE, however many texts there are
-    hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("d48 = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
-    told = met.where("d48 >= 0").groupBy("d48").agg(F.collect_list("hashes").alias("lists"))
+    hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("group = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
+    told = met.where("group >= 0").groupBy("group").applyInArrow(lambda table: _telling(table), "d48 bigint, hashes binary")
     firsts = rows.groupBy("digest", "d48").agg(F.min("ord").alias("first_ord")).withColumnRenamed("digest", "first_digest")
-    asked = told.join(firsts, "d48").select("first_digest", "first_ord", "lists")
+    asked = told.join(firsts, "d48").select("first_digest", "first_ord", "hashes")
     near = keyed.join(asked, (keyed["ord"] == asked["first_ord"]) & (keyed["digest"] == asked["first_digest"]))
-    texts = stored(near.select("ord", "digest", "d48", "text", "lists").dropDuplicates(["ord", "digest"]), "shared-texts")
+    texts = stored(near.select("ord", "digest", "d48", "text", "hashes").dropDuplicates(["ord", "digest"]), "shared-texts")
     release(spark)
 
     emitted = stored(texts.mapInArrow(_emitting(bits, hot), _EMITTED), "pieces")
