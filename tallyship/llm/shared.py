@@ -25,13 +25,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back.
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared folder (at ``path``, if given) and read back.
 
     Later steps then start from the files, so a lost executor costs a read and
     not the work before it.
     """
-    path = shared_dir(df.sparkSession, label)
+    path = path or shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,6 +49,12 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(name: str) -> Column:
     """The named column as a string, null read as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

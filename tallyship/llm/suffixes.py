@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyship.llm.blocks import blocks, flat, mixed, prefix, stretch_hashes
 from tallyship.llm.induced import repeated_windows
-from tallyship.llm.shared import release, sha256_hex, stored, text_or_empty
+from tallyship.llm.shared import discard, release, sha256_hex, shared_dir, stored, text_or_empty
 
 #: Bytes of a string, of what is hashed in it, and places of the hashed stretch in a string.
 WIDTH, STRETCH = 50, 20
@@ -314,8 +314,9 @@ def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFr
     bits = min(16, max(5, (total // 16 // BUCKET_BYTES * 11).bit_length()))
     crowd = max(CROWD, int(CROWD_SHARE * size.rows))
 
+    met_at, pieces_at, whole_at = (shared_dir(spark, x) for x in ("met", "pieces", "distinct-pieces"))
     gathered = keyed.select("d48", "text").mapInArrow(_gathering(bits), "bucket bigint, heads binary, hashes binary")
-    met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "group bigint, heads binary, hashes binary"), "met")
+    met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "group bigint, heads binary, hashes binary"), "met", met_at)
     release(spark)
     # at most a number that depends on texts' lengths over CROWD_SHARE, however many texts there are
     hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("group = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
@@ -325,18 +326,22 @@ def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFr
     near = keyed.join(asked, (keyed["ord"] == asked["first_ord"]) & (keyed["digest"] == asked["first_digest"]))
     texts = stored(near.select("ord", "digest", "d48", "text", "hashes").dropDuplicates(["ord", "digest"]), "shared-texts")
     release(spark)
+    discard(spark, met_at)
 
-    emitted = stored(texts.mapInArrow(_emitting(bits, hot), _EMITTED), "pieces")
+    emitted = stored(texts.mapInArrow(_emitting(bits, hot), _EMITTED), "pieces", pieces_at)
+    release(spark)
+    whole = stored(emitted.where("piece IS NOT NULL").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high")), "distinct-pieces", whole_at)
     release(spark)
-    whole = emitted.where("piece IS NOT NULL").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shards = max(16, int((emitted.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // SHARD_BYTES))
     sharded = whole.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     runs = stored(sharded.groupBy("shard").applyInArrow(lambda table: _sorting(table), "piece_id binary, from bigint, to bigint, first_ord bigint"), "runs")
     release(spark)
+    discard(spark, whole_at)
     stand = emitted.select("piece_id", "ord", "d48", "place").join(runs, "piece_id").where(F.col("ord") > F.col("first_ord"))
     spans = stand.select("ord", "d48", (F.col("place") + F.col("from")).alias("a"), (F.col("place") + F.col("to") + WIDTH).alias("b"))
     windows = stored(spans.groupBy("ord", "d48").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")
     release(spark)
+    discard(spark, pieces_at)
     return rows, texts, windows
 
 
