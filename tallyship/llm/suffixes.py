@@ -74,6 +74,11 @@ def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(most == hashed), hashed, least
 
 
+def _dealt(hashed: np.ndarray) -> np.ndarray:
+    """Keys by which minimizers are dealt: as hashes they are the smallest of many, most of them in the lowest buckets."""
+    return mixed(hashed) | np.uint64(1)
+
+
 def _d48(digest: Column) -> Column:
     """The first 48 bits of a digest as a long."""
     return F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("bigint")
@@ -148,7 +153,7 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             fresh = np.array([not (d in seen or seen.add(d)) for d in own.tolist()], bool)
             row = np.searchsorted(block.offsets, at, "right") - 1
             at, row = at[fresh[row]], row[fresh[row]]
-            held.append((hashed[at], own[row]))
+            held.append((_dealt(hashed[at]), own[row]))
             n += len(block.data)
             if n > UNIT_BYTES:
                 yield from flush(held)
@@ -202,7 +207,7 @@ def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """row, start, length and minimizer of the pieces of a block of texts with their shared minimizers."""
     at, hashed, least = minimizers(block.data, block.offsets)
     row = np.searchsorted(block.offsets, at, "right") - 1
-    key = hashed[at] & _same_bits(bits)
+    key = _dealt(hashed[at]) & _same_bits(bits)
     asked = np.zeros(len(at), bool)
     edges = np.searchsorted(row, np.arange(block.rows.num_rows + 1))
     for i, hashes in enumerate(block.rows.column("hashes").to_pylist()):
