@@ -1,10 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. A count-min sketch of fixed size counts in how many documents each shingle of five
-   words occurs, over all documents. Weights are tf * idf, with an idf that is 1 for
-   shingles of less than a tenth of the documents and falls to a half for those of
-   all; only frequencies of that order matter, which the sketch gives to within two
-   percent of the number of documents however many there are.
+1. A count-min sketch of fixed size counts in how many distinct texts each shingle of
+   five words occurs, over all of them. Weights are tf * idf, with an idf that is 1 for
+   shingles of less than a tenth of the texts and falls to a half for those of a
+   third and more; only frequencies of that order matter, which the sketch gives to
+   within two percent of the number of texts however many there are.
 2. For each of 48 hash functions a text samples one (shingle, quantised weight) so
    that two texts agree with the probability of their weighted Jaccard similarity.
    Bands of four samples put texts into buckets. Equal texts are one node.
@@ -15,7 +15,9 @@
    proportion to a bucket's size unless its texts are unlike. Comparisons of a larger
    bucket are dealt out as blocks of 256 by 256 texts, of which each is one product of
    matrices and gives no more rows than it has texts.
-4. A comparison computes the weighted Jaccard similarity from the two whole texts.
+4. A comparison computes two Jaccard similarities from the two whole texts, by the
+   weights and by plain counts of shingles (idf 1). The greater one counts, so a pair
+   in a large group is linked where it would be linked as a rare one.
 """
 
 from __future__ import annotations
@@ -136,8 +138,8 @@ class Weights:
 
 
 def weights_of(docs: DataFrame) -> Weights:
-    """Weights over all documents (doc_id, text); the driver gets 16 sketches of fixed size at most."""
-    rows = docs.select("text").mapInArrow(_sketching, "n bigint, counts binary").repartition(16).mapInArrow(_merging, "n bigint, counts binary").collect()
+    """Weights over all distinct texts of documents (text, digest); the driver gets 16 sketches of fixed size at most."""
+    rows = docs.select("digest", "text").dropDuplicates(["digest"]).select("text").mapInArrow(_sketching, "n bigint, counts binary").repartition(16).mapInArrow(_merging, "n bigint, counts binary").collect()
     return Weights(*_add_sketches((r.n, bytes(r.counts)) for r in rows))
 
 
@@ -203,14 +205,16 @@ def _comparing(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 sides = []
                 for block in (rows, *blocks(iter([rows.rows]), "b_text", limit=1 << 62)):
                     keys, tf = shingle_keys(block.data, block.offsets)
-                    sides.append((keys, weights.of(_hash_of(keys), tf)))
-                (a, wa), (b, wb) = sides
+                    sides.append((keys, weights.of(_hash_of(keys), tf), tf))
+                (a, *of_a), (b, *of_b) = sides
                 _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
                 n = rows.rows.num_rows
                 pair = lambda k: (k >> HASH_BITS).astype(np.int64)
-                shared = np.bincount(pair(a[at_a]), np.minimum(wa[at_a], wb[at_b]), n)
-                total = np.bincount(pair(a), wa, n) + np.bincount(pair(b), wb, n) - shared
-                similarity = shared / np.maximum(total, 1e-12)
+                similarity = np.zeros(n)
+                for wa, wb in zip(of_a, of_b, strict=True):  # weighted and plain
+                    shared = np.bincount(pair(a[at_a]), np.minimum(wa[at_a], wb[at_b]), n)
+                    total = np.bincount(pair(a), wa, n) + np.bincount(pair(b), wb, n) - shared
+                    np.maximum(similarity, shared / np.maximum(total, 1e-12), out=similarity)
                 yield pa.RecordBatch.from_arrays([rows.rows.column("a"), rows.rows.column("b"), pa.array(similarity)], names=["a", "b", "similarity"])
 
     return compare
@@ -234,7 +238,7 @@ def _joining(weights: Weights, similarity: float) -> Callable[[pa.Table], pa.Tab
         is_drawn = table.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
         text, feature, weight = _features(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()), weights)
-        total = np.bincount(text, weight, len(node))
+        totals = [np.bincount(text, weight, len(node)), np.bincount(text, minlength=len(node))]
         kinds, number, count = np.unique(feature, return_inverse=True, return_counts=True)
         shared = count[number] > 1
         text, number, weight = text[shared], number[shared], weight[shared]
@@ -245,7 +249,8 @@ def _joining(weights: Weights, similarity: float) -> Callable[[pa.Table], pa.Tab
         rows_d, rows_m = np.flatnonzero(is_drawn), np.flatnonzero(~is_drawn)
         place = np.empty(len(node), np.int64)
         place[rows_d], place[rows_m] = np.arange(len(rows_d)), np.arange(len(rows_m))
-        both = np.zeros((len(rows_d), len(rows_m)))
+        weighted = np.zeros((len(rows_d), len(rows_m)))
+        plain = weighted.copy() if (weight != 1).any() else weighted
         last = int(number[-1]) + 1 if len(number) else 0
         for begin in range(0, last, COLUMNS):
             part = slice(*np.searchsorted(number, [begin, begin + COLUMNS]))
@@ -254,8 +259,12 @@ def _joining(weights: Weights, similarity: float) -> Callable[[pa.Table], pa.Tab
             in_d = is_drawn[own]
             d[place[own[in_d]], col[in_d]] = w[in_d]
             m[place[own[~in_d]], col[~in_d]] = 1
-            both += d @ m.T
-        similar = both / np.maximum(total[rows_d][:, None] + total[rows_m][None, :] - both, 1e-12) >= similarity - 1e-9
+            weighted += d @ m.T
+            if plain is not weighted:
+                plain += (d > 0).astype(np.float64) @ m.T
+        similar = np.zeros(weighted.shape, bool)
+        for both, total in zip((weighted, plain), totals, strict=True):
+            similar |= both / np.maximum(total[rows_d][:, None] + total[rows_m][None, :] - both, 1e-12) >= similarity - 1e-9
         similar &= (label[rows_d][:, None] != label[rows_m][None, :]) & (node[rows_d][:, None] != node[rows_m][None, :])
         if not similar.any():
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
@@ -287,8 +296,8 @@ def _digest(text_col: str) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, salts: int = 64) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, digest (of its text) and label (its class's number).
 
-    A class is a component of links between texts whose weighted Jaccard similarity
-    is ``similarity`` or more, and class_id the smallest document id in it. Equal texts are always
+    A class is a component of links between texts whose weighted or plain Jaccard
+    similarity is ``similarity`` or more, and class_id the smallest document id in it. Equal texts are always
     in one class, those without words too; a null text counts as empty. A null id
     gives way to any other as class_id. Repeated rows each get their row; no rows
     give no rows. Texts are compared whole. Only the two columns are read.
@@ -350,7 +359,7 @@ def _texts(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """a, b and similarity for pairs of nodes."""
+    """a, b and similarity, the greater of weighted and plain, for pairs of nodes."""
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     return two.select("a", "b", "a_text", "b_text").mapInArrow(_comparing(weights), "a bigint, b bigint, similarity double")

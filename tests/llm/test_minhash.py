@@ -143,3 +143,49 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     want = {1: 1, 2: 1, 3: 1, 8: 1, 9: 1, 4: 4, 5: 4} | dict.fromkeys(range(100, 140), 100) | dict.fromkeys(range(200, 261), 200)
     assert got == want
+
+
+def _plain(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return (a & b).total() / (a | b).total()
+
+
+def test_copies_do_not_part_a_text_from_its_near_copy(spark):
+    """One text's copies are a third of the rows; its near copy is at plain 0.82."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(213)]
+    near = base[:]
+    for at in (20, 70, 120, 170):
+        near[at] = word()
+    near += [word()]
+    assert 0.81 < _plain(" ".join(base), " ".join(near)) < 0.83
+    texts = [" ".join(near)] + [" ".join(base)] * 30 + [" ".join(word() for _ in range(60)) for _ in range(59)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert minhash.weights_of(df.withColumn("digest", minhash._digest("text"))).idf.max() == 1
+    got = dict(near_duplicates(df).select("doc_id", "class_id").collect())
+    assert got == {i: 0 if i < 31 else i for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("small", [minhash.SMALL, 2, 10**6])
+def test_plain_similarity_links_inside_a_hot_group(spark, monkeypatch, small):
+    """A third of the texts share most shingles, all under the limit of one another but for one pair at plain 0.82."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(213)]
+    texts = []
+    for _ in range(30):
+        own = base[:]
+        for at in rng.sample(range(5, 205, 10), 5):
+            own[at] = word()
+        texts.append(" ".join(own))
+    near = texts[7].split() + [word()]
+    for at in (20, 70, 120, 170):
+        near[at] = word()
+    texts += [" ".join(near)] + [" ".join(word() for _ in range(60)) for _ in range(59)]
+    pairs = {p for p in combinations(range(31), 2) if _plain(texts[p[0]], texts[p[1]]) >= 0.8}
+    assert pairs == {(7, 30)} and brute_classes(texts) == list(range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(near_duplicates(df).select("doc_id", "class_id").collect())
+    assert got == {i: 7 if i == 30 else i for i in range(len(texts))}
