@@ -180,3 +180,13 @@ def test_manifest_decoding(spark):
     df = spark.createDataFrame(bodies, "body string, want string")
     got = df.select("want", records.push_error(F.col("body"), F.lit("c/d")).alias("e"), records.layers_size(records.manifest(F.col("body"))).alias("n"), records.shape(records.manifest(F.col("body"))).alias("s")).collect()
     assert all(r.want == r.e for r in got) and got[0].n == 3 and got[1].s == "index"
+
+
+def test_sizes_of_all_units_and_keys(spark, tmp_path):
+    from tallyship.plans.scans import f16_audit_names
+    from tallyship.sources.adapters import Tables
+
+    want = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 2**20 - 1: "1024.0 KB", 2**20: "1.0 MB", 5 * 2**19: "2.5 MB", 2**30: "1.0 GB", 3 * 2**39: "1536.0 GB"}
+    spark.createDataFrame([(k, f"c{k}") for k in want], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: r.shown for r in f16_audit_names(Tables(spark, str(tmp_path))).collect()}
+    assert got == want
