@@ -157,9 +157,9 @@ def _open(path: str):
     return FileSystem.from_uri(path)
 
 
-def _writing(tokenizer: str, end: int, folder: str, bits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writing(tokenizer: str, end: int, folder: str, bits: bool, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = text_encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = text_encoder(tokenizer, added), TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.planes"
         fs, name = _open(path)
         fs.create_dir(name.rpartition("/")[0], recursive=True)
@@ -179,7 +179,7 @@ def _writing(tokenizer: str, end: int, folder: str, bits: bool) -> Callable[[Ite
     return write
 
 
-def write_planes(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", bits: bool = False) -> DataFrame:
+def write_planes(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", bits: bool = False, added: bool = False) -> DataFrame:
     """Encodes documents and writes their ids in ascending order of document id.
 
     Every text gets the id ``end`` after its own; a null text counts as empty, so it
@@ -191,7 +191,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col:
     manifest: file, part (files' order), n_docs, n_ids, first_id (ids in files before).
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    written = stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writing(tokenizer, end, folder, bits), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
+    written = stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writing(tokenizer, end, folder, bits, added), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
 
@@ -223,6 +223,6 @@ def read_planes(manifest: DataFrame, files: int | None = None) -> DataFrame:
     return spread.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, bits: bool = False) -> DataFrame:
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, bits: bool = False, added: bool = False) -> DataFrame:
     """Writes files of ids to the shared folder and reports on every document from them."""
-    return read_planes(stored(write_planes(docs, shared_dir(spark, "planes"), tokenizer, end, bits=bits), "plane-manifest"))
+    return read_planes(stored(write_planes(docs, shared_dir(spark, "planes"), tokenizer, end, bits=bits, added=added), "plane-manifest"))

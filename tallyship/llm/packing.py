@@ -28,9 +28,9 @@ CAPACITY, SALTS = 2048, 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _cutting(tokenizer: str, end: int, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutting(tokenizer: str, end: int, capacity: int, with_ids: bool, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(tokenizer)
+        encoder = text_encoder(tokenizer, added)
         for block in blocks(batches):
             ids, offsets = with_end(*encoder.encode(block.data, block.offsets), end)
             total = np.diff(offsets)
@@ -53,15 +53,15 @@ def _cutting(tokenizer: str, end: int, capacity: int, with_ids: bool) -> Callabl
     return cut
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """The pieces of every document: doc_id, piece, start, length, ids_crc32, and ids if asked for.
+def cut_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+    """The pieces of every document: doc_id, piece, start, length, ids_crc32, and ids if asked for; ``added`` as in ``TextEncoder``.
 
     A document is its text's ids and then ``end``; a null text counts as empty. Only
     one of more than ``capacity`` ids is cut, into whole sequences after a first piece
     that may be shorter.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_cutting(tokenizer, end, capacity, with_ids), PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(_cutting(tokenizer, end, capacity, with_ids, added), PIECES + ", ids array<int>" * with_ids)
 
 
 def plan_bins(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
@@ -163,9 +163,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placing(slots(plan_bins(counts))), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Where every piece of every document goes; see ``cut_pieces`` and ``pack``."""
-    return pack(cut_pieces(docs, tokenizer, end, capacity, id_col, text_col), capacity)
+    return pack(cut_pieces(docs, tokenizer, end, capacity, id_col, text_col, added=added), capacity)
 
 
 def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ A byte-level tokenizer with the usual splitting pattern never joins characters o
 certain places: where a blank follows a non-blank, and where ASCII letters and other
 ASCII marks than the apostrophe meet. Texts are cut there, and only distinct chunks are
 encoded. Texts with blanks or separators beyond ASCII, for which the
-first rule does not hold, are one chunk each.
+first rule does not hold, are one chunk each; so are texts that contain an added
+token, where these are not read as plain text.
 """
 
 from __future__ import annotations
@@ -42,13 +43,24 @@ def _odd_blanks(data: np.ndarray) -> np.ndarray:
     return np.concatenate(at)
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of chunks that can be split into tokens one by one; every text's edges are among them."""
+def _places(data: np.ndarray, strings: tuple[bytes, ...]) -> np.ndarray:
+    """Where any of the strings begins."""
+    raw, at = data.tobytes() if strings else b"", []
+    for s in strings:
+        found = raw.find(s)
+        while found >= 0:
+            at.append(found)
+            found = raw.find(s, found + 1)
+    return np.array(at, np.int64)
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Offsets of chunks that can be split into tokens one by one; every text's edges are among them, and one with a string of ``added`` is not cut."""
     kind = _KIND[data]
     cut = np.zeros(len(data) + 1, bool)
     before, after = kind[:-1], kind[1:]
     cut[1:-1] = ((after == _BLANK) & (before != _BLANK)) | (before + after == _MARK + _LETTER) & (before != after)
-    for text in np.unique(np.searchsorted(offsets, _odd_blanks(data), "right") - 1):
+    for text in np.unique(np.searchsorted(offsets, np.concatenate([_odd_blanks(data), _places(data, added)]), "right") - 1):
         cut[offsets[text] : offsets[text + 1]] = False
     cut[offsets] = True
     return np.flatnonzero(cut)
@@ -57,6 +69,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Ids of texts from the ids of their distinct chunks; ``new_chunks`` encodes those not yet known."""
 
+    added: tuple[bytes, ...] = ()
+
     def __init__(self):
         self._forget()
 
@@ -87,7 +101,7 @@ class ChunkEncoder:
         """Ids of consecutive texts as one array, and its offsets by text."""
         if self.n_chunks > CHUNKS:
             self._forget()
-        bounds = cuts(data, offsets)
+        bounds = cuts(data, offsets, self.added)
         if len(bounds) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = strings(data, bounds).dictionary_encode()
@@ -112,15 +126,21 @@ class ChunkEncoder:
 
 
 class TextEncoder(ChunkEncoder):
-    """Equal to the tokenizers library's ``encode`` with ``add_special_tokens=False`` and special strings as plain text."""
+    """Equal to the tokenizers library's ``encode`` with ``add_special_tokens=False``.
+
+    Special strings are plain text, or the library's default for ``added``: then a
+    text's added tokens get their own ids.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        if added:
+            self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
 
     def new_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -129,9 +149,9 @@ class TextEncoder(ChunkEncoder):
 
 
 @lru_cache(maxsize=2)
-def text_encoder(path: str) -> TextEncoder:
+def text_encoder(path: str, added: bool = False) -> TextEncoder:
     """A worker's encoder for a tokenizer file; it stays for the worker's later tasks."""
-    return TextEncoder(path)
+    return TextEncoder(path, added)
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from tallyship.llm import queries
 from tallyship.llm.bitplanes import PlaneReader, PlaneWriter, from_planes, to_planes, write_and_read
 from tallyship.llm.blocks import prefix
 from tallyship.llm.packing import cut_pieces, pack, pack_documents, plan_bins, sequences
@@ -149,3 +151,20 @@ def test_sequences_hold_the_ids(spark, plain):
     for r in placed.collect():
         assert got[r.sequence_id][r.offset : r.offset + r.length] == [*plain("word " * (r.doc_id * 37 % 90)), 0][r.start : r.start + r.length]
     assert all(len(x) <= 128 for x in got.values())
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext|", "|> a", "plain words, no token", "é <|endoftext|>\n 12"]
+
+
+def test_added_tokens_get_their_ids(spark, tmp_path):
+    default = Tokenizer.from_file(PATH)
+    want = [default.encode(t or "", add_special_tokens=False).ids for t in ADDED + TEXTS]
+    assert want[0] == [64, 220, 50256, 275]
+    assert _encode(TextEncoder(PATH, added=True), ADDED + TEXTS) == want
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    planes = queries.op1_bit_planes(spark, str(tmp_path)).collect()
+    assert {r[0]: (r[2], r[3]) for r in planes} == {i: (len(want[i]) + 1, crc([*want[i], 2])) for i in range(len(ADDED))}
+    for placed in (queries.op2_best_two_fit(spark, str(tmp_path)), corpus_pipeline.packing(spark, df, "")):
+        assert {r.doc_id: r.ids_crc32 for r in placed.collect()} == {i: crc([*want[i], 0]) for i in range(len(ADDED))}
