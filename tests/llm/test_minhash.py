@@ -162,7 +162,7 @@ def test_copies_do_not_part_a_text_from_its_near_copy(spark):
     assert 0.81 < _plain(" ".join(base), " ".join(near)) < 0.83
     texts = [" ".join(near)] + [" ".join(base)] * 30 + [" ".join(word() for _ in range(60)) for _ in range(59)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert minhash.weights_of(df.withColumn("digest", minhash._digest("text"))).idf.max() == 1
+    assert minhash.weights_of(df.withColumn("digest", minhash._digest("text"))).idf.min() == 1
     got = dict(near_duplicates(df).select("doc_id", "class_id").collect())
     assert got == {i: 0 if i < 31 else i for i in range(len(texts))}
 
