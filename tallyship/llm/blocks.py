@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a block, unless one text alone has more, and texts in it.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 1 << 15
 
 
 @dataclass

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import Block, blocks, mixed, numbered, prefix, words
+from tallyship.llm.blocks import BLANK, Block, blocks, mixed, numbered, prefix, words
 
 #: Largest share of a text's word characters inside duplicated n-grams, by n, and inside repeated lines.
 NGRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
@@ -41,30 +41,37 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def _covered(begins: np.ndarray, n: int, total: int) -> np.ndarray:
-    """Which of ``total`` words lie in windows of n words at the given places."""
-    depth = np.zeros(total + 1, np.int64)
-    np.add.at(depth, begins, 1)
-    np.add.at(depth, begins + n, -1)
-    return np.cumsum(depth[:-1]) > 0
+    """Which of ``total`` words lie in windows of n words at the given places, all different."""
+    depth = np.zeros(total + 1, np.int8)
+    depth[begins] += 1
+    depth[begins + n] -= 1
+    return np.cumsum(depth[:-1], dtype=np.int8) > 0  # n windows at most cover a word
+
+
+def _within(places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie between each edge and the next."""
+    return np.diff(np.searchsorted(places, edges))
 
 
 def measure(block: Block) -> dict[str, np.ndarray]:
-    """Counts for each text of a block; chars are code points."""
+    """Counts for each text of a block; chars are code points.
+
+    Sums are taken over words, not over bytes, so a block needs some sixteen bytes of
+    memory for a byte of text.
+    """
     data, offsets, texts = block.data, block.offsets, len(block.offsets) - 1
     starts, stops = words(data, offsets)
-    chars = prefix((data & 0xC0) != 0x80)
-    length = chars[stops] - chars[starts]
-    owner = np.searchsorted(offsets, starts, "right") - 1
+    sizes = stops - starts
+    letters = np.append(data, np.uint8(0)) & 0xC0 != 0x80  # first bytes of code points; one more so that every edge is in range
+    length = np.add.reduceat(letters, np.stack([starts, stops], 1).ravel(), dtype=np.int32)[::2] if len(starts) else np.zeros(0, np.int32)
+    del letters
+    owner = (np.searchsorted(offsets, starts, "right") - 1).astype(np.int32)
     first = np.searchsorted(starts, offsets)  # each text's first word
-    solid = np.zeros(len(data) + 1, np.int8)
-    np.add.at(solid, starts, 1)
-    np.add.at(solid, stops, -1)
-    inside = np.cumsum(solid[:-1], dtype=np.int8).astype(bool)
-    ids = numbered(data[inside], prefix(stops - starts))
+    ids = numbered(data[~BLANK[data]], prefix(sizes))
 
     per_text = lambda x: (s := prefix(x))[first[1:]] - s[first[:-1]]
     out = {"n_words": np.diff(first), "word_chars": per_text(length)}
-    out["n_symbols"] = (s := prefix(SYMBOL[data]))[offsets[1:]] - s[offsets[:-1]]
+    out["n_symbols"] = _within(np.flatnonzero(SYMBOL[data]), offsets)
 
     # n-grams: the hash of n+1 words is made from that of n; a longer n-gram can repeat only where the shorter one does
     symbols, salt = mixed(ids), mixed(np.arange(texts, dtype=np.uint64) + np.uint64(1 << 40))
@@ -85,15 +92,9 @@ def measure(block: Block) -> dict[str, np.ndarray]:
             out["n_repeat_words"] = per_text(covered)
 
     # lines, without their ends
-    ends = data == 10
-    line_edges = np.zeros(len(data) + 1, bool)
-    line_edges[1:][ends] = True
-    line_edges[offsets] = True
-    begin = np.flatnonzero(line_edges)
-    if not len(data):
-        begin = np.zeros(1, np.int64)
-    body = prefix(~ends)[begin]
-    line = numbered(data[~ends], body)
+    ends = np.flatnonzero(data == 10)
+    begin = np.union1d(ends + 1, offsets)
+    line = numbered(data[data != 10], begin - np.searchsorted(ends, begin))
     line_owner = np.searchsorted(offsets, begin[:-1], "right") - 1
     line_words = np.searchsorted(starts, begin)
     worded = np.diff(line_words) > 0
