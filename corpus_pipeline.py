@@ -26,7 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text, white space aside."""
-    return keep_first(docs, DigestIndex(spark, shared_dir(spark, "index")))
+    index = DigestIndex(spark, shared_dir(spark, "index"))
+    kept = keep_first(docs, index)
+    index.detach()
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ def _redacted(text):
             continue
         kind = next((k for k in secrets.CLASSES if re.search(k.pattern, m[0]) and all(re.search(n, m[0]) for n in k.needs)), None)
         a, b = _windows(m[0], kind) if kind else (None, None)
+        if a is not None and any(re.search(rule, m[0][a:b]) for rule in secrets.ALLOWED_INSIDE):
+            continue
         if a is not None and not any(m.start() + a < y and x < m.start() + b for x, y in base):
             spans.append((m.start() + a, m.start() + b))
     out, at = "", 0
