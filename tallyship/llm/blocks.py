@@ -92,16 +92,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops
 
 
-_BYTE = mixed(np.arange(256))
+#: Two numbers for each byte, for two hashes that know nothing of each other.
+_BYTE = mixed(np.arange(512)).reshape(2, 256)
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones((2, 1), np.uint64)
 
 
-def stretch_hashes(data: np.ndarray, starts: np.ndarray | slice, stops: np.ndarray | slice) -> np.ndarray:
+def stretch_hashes(data: np.ndarray, starts: np.ndarray | slice, stops: np.ndarray | slice, kind: int = 0) -> np.ndarray:
     """Polynomial hashes, modulo 2**64, of stretches of bytes; equal stretches have equal ones wherever they stand.
 
     Prefix sums are divided by the power of the base at which a stretch begins, so any
-    number of stretches costs one pass. A slice stands for the places it takes.
+    number of stretches costs one pass. A slice stands for the places it takes. There
+    are two kinds, which together make 128 bits.
     """
     global _powers
     n = len(data) + 1
@@ -110,5 +112,5 @@ def stretch_hashes(data: np.ndarray, starts: np.ndarray | slice, stops: np.ndarr
         steps[1], steps[:, 0] = np.uint64(pow(_BASE, -1, 2**64)), 1
         _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
     sums = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[0, : n - 1], out=sums[1:])
+    np.cumsum(_BYTE[kind][data] * _powers[0, : n - 1], out=sums[1:])
     return (sums[stops] - sums[starts]) * _powers[1, :n][starts]

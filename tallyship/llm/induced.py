@@ -1,12 +1,11 @@
-"""Suffix arrays by induced sorting, with whole buckets at a time in numpy.
+"""Suffix arrays by induced sorting, with whole stretches of the array at a time in numpy.
 
 Suffixes are classed as smaller (S) or larger (L) than the one behind them. The
 leftmost S-suffixes (LMS) of each run are sorted first: their substrings are sorted by
-one pass of induction and named, and the string of names is sorted recursively; one of
-many distinct names is sorted by doubling, the base case. A second pass then induces all
-suffixes from the sorted LMS ones in linear time. Induction goes bucket by bucket: the
-suffixes of a bucket are known once all smaller buckets are done, but for those that
-come from the bucket itself, which follow in waves.
+induction and named, and the string of names is sorted recursively, whatever its
+alphabet. A second induction then gives all suffixes from the sorted LMS ones in linear
+time. A sweep of induction takes as long a stretch of the array as does not itself
+receive suffixes from the stretch, so that its suffixes are final.
 """
 
 from __future__ import annotations
@@ -15,8 +14,11 @@ import numpy as np
 
 from tallyship.llm.blocks import numbered, prefix
 
-#: Alphabets above this size are sorted by doubling.
-LARGE = 2048
+#: Strings of fewer characters are sorted by doubling, as the end of the recursion.
+FEW = 256
+
+#: Suffixes of a stretch at first; it grows and shrinks with what a sweep meets.
+STRETCH = 1 << 12
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -32,58 +34,78 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rises
 
 
-def _append(parts: dict[int, list[np.ndarray]], text: np.ndarray, places: np.ndarray) -> None:
-    """Adds places to the lists of their characters, keeping their order."""
-    if not len(places):
-        return
-    chars = text[places]
-    order = np.argsort(chars, kind="stable")
-    places, chars = places[order], chars[order]
-    edges = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-    for c, group in zip(chars[np.append(0, edges)].tolist(), np.split(places, edges), strict=True):
-        parts.setdefault(c, []).append(group)
-
-
-def _scan(parts: dict[int, list[np.ndarray]], c: int, text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Completes bucket c with the waves that come from itself, and hands on what it induces."""
-    done = []
-    wave = parts.pop(c, [])
-    while wave:
-        now = np.concatenate(wave) if len(wave) > 1 else wave[0]
-        done.append(now)
-        before = now[now > 0] - 1
-        before = before[wanted[before]]
-        same = text[before] == c
-        wave = [before[same]] if same.any() else []
-        _append(parts, text, before[~same])
-    return np.concatenate(done) if done else np.zeros(0, np.int32)
-
-
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the LMS ones in order (or, for their substrings' sake, in any order within a bucket)."""
-    chars = np.flatnonzero(np.bincount(text)).tolist()
-    heads: dict[int, list[np.ndarray]] = {}
-    _append(heads, text, lms)
-    larger: dict[int, list[np.ndarray]] = {}
-    _append(larger, text, np.array([len(text) - 1], lms.dtype))
-    found: dict[int, np.ndarray] = {}
-    for c in chars:
-        found[c] = _scan(larger, c, text, ~small)
-        for group in heads.get(c, []):
-            before = group[group > 0] - 1
-            _append(larger, text, before[~small[before]])
-    smaller: dict[int, list[np.ndarray]] = {}
-    tails: dict[int, np.ndarray] = {}
-    for c in reversed(chars):  # from the largest suffix down
-        tails[c] = _scan(smaller, c, text, small)
-        group = found[c][::-1]
-        before = group[group > 0] - 1
-        _append(smaller, text, before[small[before]])
-    return np.concatenate([x for c in chars for x in (found[c], tails[c][::-1])])
+def _sweep(order: np.ndarray, free: np.ndarray, char_of: np.ndarray) -> None:
+    """Goes through ``order`` (-1: not yet known) and puts the suffix before each into the next free place of its character, unless that is the type's greatest number.
+
+    All that a stretch induces is placed at once. A place inside the stretch ends it
+    there, since the suffix that comes to it induces in its turn.
+    """
+    at, width, n, none = 0, STRETCH, len(order), np.iinfo(char_of.dtype).max
+    while at < n:
+        stop = min(at + width, n)
+        source = order[at:stop]
+        giving = np.flatnonzero(source > 0)
+        before = source[giving] - 1
+        char = char_of[before]
+        mine = np.flatnonzero(char != none)
+        if len(mine):
+            giving, before, char = giving[mine], before[mine], char[mine]
+            by = np.argsort(char, kind="stable")
+            in_order = char[by]
+            new = np.empty(len(by), bool)
+            new[0] = True
+            np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+            begin = np.flatnonzero(new)
+            kinds = in_order[begin]
+            place = np.empty(len(by), np.int64)
+            place[by] = (free[kinds] - begin)[np.cumsum(new) - 1] + np.arange(len(by))
+            nearest = int(place.min())
+            if nearest < stop:
+                stop = nearest
+                ready = int(np.searchsorted(giving, stop - at))
+                before, place = before[:ready], place[:ready]
+                np.add.at(free, char[:ready], 1)
+            else:
+                free[kinds] += np.diff(begin, append=len(by))
+            order[place] = before
+        width = max(64, min(2 * (stop - at), 1 << 17))
+        at = stop
+
+
+class _Buckets:
+    """Where the suffixes of each character stand in the array, the larger ones before the smaller."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray):
+        self.text, self.small = text, small
+        most = int(text.max())
+        self.char = text.astype(np.uint8 if most < 0xFF else np.uint16 if most < 0xFFFF else np.uint32 if most < 0xFFFFFFFF else np.int64)
+        self.none = np.iinfo(self.char.dtype).max
+        count = np.bincount(text)
+        n_small = np.bincount(text[small], minlength=len(count))
+        self.ends = np.cumsum(count)
+        self.starts = self.ends - count
+        self.holds_small = np.repeat(np.tile([False, True], len(count)), np.stack([count - n_small, n_small], 1).ravel())
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        """All suffixes in order, from the LMS ones in order (or, for their substrings' sake, in any order within a bucket)."""
+        text, n = self.text, len(self.text)
+        order = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
+        char = text[lms]
+        by = np.argsort(char, kind="stable")
+        before = prefix(np.bincount(char, minlength=len(self.ends)))
+        in_order = char[by]
+        order[self.ends[in_order] - (before[1:][in_order] - np.arange(len(lms)))] = lms[by]
+        free = self.starts.copy()
+        order[free[text[-1]]] = n - 1  # larger than the empty suffix behind it
+        free[text[-1]] += 1
+        _sweep(order, free, np.where(self.small, self.none, self.char))
+        order[self.holds_small] = -1
+        _sweep(order[::-1], n - self.ends, np.where(self.small, self.char, self.none))  # from the largest suffix down
+        return order
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
-    """A suffix array by doubling the length that is sorted."""
+    """The suffix array of a short string, by doubling the length that is sorted."""
     n = len(text)
     rank, width = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while True:
@@ -102,30 +124,32 @@ def _doubled(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places of all suffixes of an array of small non-negative integers, in ascending order."""
+    """Places of all suffixes of an array of non-negative integers, in ascending order."""
     n = len(text)
-    if n < 3 or int(text.max()) > LARGE:
+    if n < FEW:
         return _doubled(text) if n else np.zeros(0, np.int64)
     small = _types(text)
+    buckets = _Buckets(text, small)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32 if n < 2**31 else np.int64) + 1
     if len(lms) > 1:
-        order = _induce(text, small, lms)
+        order = buckets.induce(lms)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = order[is_lms[order]]
         # two LMS substrings are equal if the stretches to the next LMS place are, and the character there
-        wide = text.astype("<u2").view(np.uint8)
-        bounds = np.append(lms, n)
-        own = numbered(wide[2 * lms[0] :], 2 * (bounds - lms[0]))
+        most = int(text.max())
+        wide = text.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+        bounds = np.append(lms, n).astype(np.int64)
+        own = numbered(wide[lms[0] :].view(np.uint8), wide.itemsize * (bounds - bounds[0]))
         ends = np.append(text[lms[1:]].astype(np.int64), -1)
-        rank_of = np.empty(n, np.int64)
+        rank_of = np.empty(n, np.int32 if n < 2**31 else np.int64)
         rank_of[lms] = np.arange(len(lms))
         which = rank_of[order]
         fresh = np.append(True, (own[which][1:] != own[which][:-1]) | (ends[which][1:] != ends[which][:-1]))
-        names = np.empty(len(lms), np.int64)
+        names = np.empty(len(lms), np.int32)
         names[which] = np.cumsum(fresh) - 1
         lms = order if fresh.all() else lms[suffix_array(names)]
-    return _induce(text, small, lms)
+    return buckets.induce(lms)
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, places: np.ndarray, cap: int) -> np.ndarray:

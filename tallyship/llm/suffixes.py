@@ -10,13 +10,17 @@ that two different texts share.
    of texts, one row for each, and not to every text by itself.
 2. Texts with shared minimizers give pieces: the bytes of all windows that have the
    minimizer. Where one occurs in so many texts that its pieces could crowd a task,
-   every window is a piece by itself. Equal pieces are one, with the smallest document.
-3. Pieces of a minimizer meet in a shard. The shard's suffix array is made by induced sorting,
-   and permuted common prefixes tell which windows are equal, and so the smallest
-   document of each.
+   every window is a piece by itself. Before they are shuffled, equal pieces of a block
+   become one string with its smallest and its greatest document, and so again on arrival.
+3. The pieces of a minimizer meet in a shard. The shard's suffix array is made by induced
+   sorting over all of them with their documents, and permuted common prefixes tell which
+   windows are equal, and so the smallest document of each. Every window that is removed
+   is found there; only a string of one document whose minimizer no other string has
+   stays out, as no second document has its windows.
 4. Windows of later documents are removed from their texts, overlapping ones together.
 
-Equal texts are found by digest; only the first goes through these steps.
+Equal texts are found by digest; only the first goes through these steps, and the others
+lose all their windows as whole copies.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import blocks, flat, mixed, prefix, stretch_hashes
+from tallyship.llm.blocks import blocks, flat, mixed, prefix, stretch_hashes, strings
 from tallyship.llm.induced import repeated_windows
 from tallyship.llm.shared import discard, release, sha256_hex, shared_dir, stored, text_or_empty
 
@@ -41,6 +45,9 @@ SPREAD = WIDTH - STRETCH + 1
 #: A minimizer of more texts than this, and than this share of all texts, has its windows dealt one by one.
 CROWD, CROWD_SHARE = 4000, 1e-4
 
+#: Keys over which the places of a crowd's piece are spread.
+SALTS = 60
+
 #: Bytes of text of which a task holds the minimizers at once, and aims for a bucket and a shard.
 UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20, 4 << 20
 
@@ -79,18 +86,13 @@ def _dealt(hashed: np.ndarray) -> np.ndarray:
     return mixed(hashed) | np.uint64(1)
 
 
-def _d48(digest: Column) -> Column:
-    """The first 48 bits of a digest as a long."""
-    return F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("bigint")
-
-
 def _letters(text: np.ndarray, hashed: np.ndarray, shift: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """Hashes for texts, packed by group of texts: the groups, their texts with the number of hashes of each, and the hashes."""
     by = np.argsort(text, kind="stable")
     text, hashed = text[by], hashed[by]
     begin = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
     whose, count = text[begin], np.diff(np.append(begin, len(text)))
-    group = whose >> shift
+    group = (whose.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
     cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
     if not len(cut):
         return group, [], []
@@ -99,8 +101,8 @@ def _letters(text: np.ndarray, hashed: np.ndarray, shift: int) -> tuple[np.ndarr
 
 
 def _group_shift(bits: int) -> int:
-    """Bits of d48 below a group of texts; an eighth as many groups as buckets, since few minimizers are shared."""
-    return 48 - max(5, bits - 3)
+    """Bits of a text's number below those of its group; an eighth as many groups as buckets, since few minimizers are shared."""
+    return 64 - max(5, bits - 3)
 
 
 def _telling(table: pa.Table) -> pa.Table:
@@ -111,7 +113,7 @@ def _telling(table: pa.Table) -> pa.Table:
     by = np.argsort(text, kind="stable")
     text, hashed = text[by], hashed[by]
     begin = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-    return pa.Table.from_arrays([pa.array(text[begin]), pa.array([x.tobytes() for x in np.split(hashed, begin[1:])], pa.binary())], names=["d48", "hashes"])
+    return pa.Table.from_arrays([pa.array(text[begin]), pa.array([x.tobytes() for x in np.split(hashed, begin[1:])], pa.binary())], names=["text_id", "hashes"])
 
 
 def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -138,19 +140,19 @@ def _gathering(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for b in range(1 << bits):
             s, m = slice(edges[b], edges[b + 1]), slice(shared[b], shared[b + 1])
             low = (single[s] << np.uint64(bits)) >> np.uint64(24)  # 40 bits below the bucket's own
-            mine = np.concatenate([low.view(np.uint8).reshape(-1, 8)[:, :5], owner[s].view(np.uint8).reshape(-1, 8)[:, :6]], axis=1)
+            mine = np.concatenate([low.view(np.uint8).reshape(-1, 8)[:, :5], owner[s].view(np.uint8).reshape(-1, 8)], axis=1)
             known = np.concatenate([((multi[m] << np.uint64(bits)) >> np.uint64(24)), times[m].astype(np.uint64)])
             packs.append((mine.tobytes(), known.tobytes()))
         yield _rows(["bucket", "heads", "hashes"], np.arange(len(packs)), [b for _, b in packs], [a for a, _ in packs])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         n = 0
         for block in blocks(batches, limit=2 << 20):
             at, hashed, _ = minimizers(block.data, block.offsets)
-            own = block.rows.column("d48").to_numpy()
-            fresh = np.array([not (d in seen or seen.add(d)) for d in own.tolist()], bool)
+            own = block.rows.column("text_id").to_numpy()
+            fresh = np.array([not (d in seen or seen.add(d)) for d in block.rows.column("digest").to_pylist()], bool)
             row = np.searchsorted(block.offsets, at, "right") - 1
             at, row = at[fresh[row]], row[fresh[row]]
             held.append((_dealt(hashed[at]), own[row]))
@@ -175,9 +177,9 @@ def _meeting(bits: int, crowd: int) -> Callable[[pa.Table], pa.Table]:
         if table.column("bucket")[0].as_py() < 0:
             return pa.Table.from_arrays([pc.subtract(-1, table.column("bucket")), table.column("heads"), table.column("hashes")], names=["group", "heads", "hashes"])
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        mine = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 11)
+        mine = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 13)
         wide = np.zeros((2, len(mine), 8), np.uint8)
-        wide[0, :, :5], wide[1, :, :6] = mine[:, :5], mine[:, 5:]
+        wide[0, :, :5], wide[1] = mine[:, :5], mine[:, 5:]
         low, text = wide.view(np.uint64)[0, :, 0], wide.view(np.int64)[1, :, 0]
         known = [np.frombuffer(x, np.uint64) for x in table.column("heads").to_pylist()]
         known_low = np.concatenate([x[: len(x) // 2] for x in known])
@@ -203,8 +205,8 @@ def _same_bits(bits: int) -> np.uint64:
     return np.uint64((((1 << kept) - 1) << (64 - kept)) | 1)
 
 
-def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, start, length and minimizer of the pieces of a block of texts with their shared minimizers."""
+def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, start, length and minimizer of the pieces of a block of texts with their shared minimizers, and which are of a crowd."""
     at, hashed, least = minimizers(block.data, block.offsets)
     row = np.searchsorted(block.offsets, at, "right") - 1
     key = _dealt(hashed[at]) & _same_bits(bits)
@@ -226,58 +228,62 @@ def _pieces(block, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     length = np.concatenate([last - first + WIDTH, np.full(len(single), WIDTH)])
     rows = np.concatenate([row[calm], row[crowded][which]])
     keys = np.concatenate([key[calm], mixed(stretch_hashes(block.data, single, single + WIDTH))])  # a crowd's windows spread by their content
-    return rows, start, length, keys
+    return rows, start, length, keys, np.arange(len(rows)) >= len(first)
 
 
-def _piece_id(piece: bytes) -> bytes:
-    return hashlib.blake2b(piece, digest_size=16).digest()
+def _piece_ids(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two integers, that stand for a piece."""
+    return tuple(mixed(stretch_hashes(data, starts, stops, kind) + (stops - starts).astype(np.uint64)).view(np.int64) for kind in (0, 1))
 
 
 def _emitting(bits: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Where every piece stands in its text; of equal pieces of a block the first row has the bytes, and the least and greatest document."""
+    """Where every piece stands in its text; of equal pieces of a block the first row has the bytes, the least and greatest document, and the salts.
+
+    Pieces of a crowd are spread over ``SALTS`` salts by their document; ``salts`` has a bit for each.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
-            row, start, length, key = _pieces(block, bits, hot)
+            row, start, length, key, crowded = _pieces(block, bits, hot)
             if not len(row):
                 continue
-            data, ord_ = block.data.tobytes(), block.rows.column("ord").to_numpy()[row]
-            coded = pa.array([data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)], pa.binary()).dictionary_encode()
-            number, n = coded.indices.to_numpy(), len(coded.dictionary)
-            low, high = np.full(n, _LAST), np.full(n, -_LAST)
-            np.minimum.at(low, number, ord_)
-            np.maximum.at(high, number, ord_)
-            ids = pa.array([_piece_id(p) for p in coded.dictionary.to_pylist()], pa.binary())
-            at = pa.array(number)
-            first = np.zeros(len(row), bool)
-            first[np.unique(number, return_index=True)[1]] = True
-            only = lambda x: pc.if_else(pa.array(first), x, pa.scalar(None, x.type))
+            ord_ = block.rows.column("ord").to_numpy()[row]
+            salt = np.where(crowded, (mixed(ord_.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+            id_a, id_b = _piece_ids(block.data, start, start + length)
+            order = np.lexsort((id_b, id_a))
+            new = np.append(True, (id_a[order][1:] != id_a[order][:-1]) | (id_b[order][1:] != id_b[order][:-1]))
+            begin = np.flatnonzero(new)
+            first = order[begin]
+            place = np.full(len(row), -1, np.int64)
+            place[first] = np.arange(len(first))
+            sizes = prefix(length[first])
+            octets = block.data[np.repeat(start[first] - sizes[:-1], length[first]) + np.arange(sizes[-1])]
+            at = pa.array(place, mask=place < 0)
+            only = lambda x: pa.array(x).take(at)
             columns = {
-                "piece_id": ids.take(at), "ord": pa.array(ord_), "d48": pa.array(block.rows.column("d48").to_numpy()[row]), "place": pa.array(start - block.offsets[row]),
-                "piece": only(coded.dictionary.take(at)), "key": pa.array(key.view(np.int64)), "low": only(pa.array(low[number])), "high": only(pa.array(high[number])),
+                "id_a": pa.array(id_a), "id_b": pa.array(id_b), "salt": pa.array(salt), "ord": pa.array(ord_), "text_id": pa.array(block.rows.column("text_id").to_numpy()[row]),
+                "place": pa.array(start - block.offsets[row]), "piece": strings(octets, sizes).cast(pa.binary()).take(at), "key": pa.array(key.view(np.int64)),
+                "low": only(np.minimum.reduceat(ord_[order], begin)), "high": only(np.maximum.reduceat(ord_[order], begin)),
+                "salts": only(np.bitwise_or.reduceat(np.int64(1) << salt[order], begin)),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
     return emit
 
 
-_EMITTED = "piece_id binary, ord bigint, d48 bigint, place bigint, piece binary, key bigint, low bigint, high bigint"
+_EMITTED = "id_a bigint, id_b bigint, salt bigint, ord bigint, text_id bigint, place bigint, piece binary, key bigint, low bigint, high bigint, salts bigint"
+_RUNS = "id_a bigint, id_b bigint, salts bigint, from bigint, to bigint, first_ord bigint"
 
 
 def _sorting(table: pa.Table) -> pa.Table:
-    """In a shard: runs of windows of a piece that stand in an earlier document than the piece's last.
-
-    The only piece of a minimizer has nothing to be compared with, so it stays out of the array.
-    """
-    low, high, key = (table.column(c).to_numpy() for c in ("low", "high", "key"))
-    piece = table.column("piece").combine_chunks()
-    lengths = pc.binary_length(piece).to_numpy(zero_copy_only=False)
+    """In a shard: runs of windows of a piece that stand in an earlier document than the piece's last."""
+    low, high, key, salts = (table.column(c).to_numpy() for c in ("low", "high", "key", "salts"))
     _, number, times = np.unique(key, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(times[number] > 1)
-    lone = np.flatnonzero((times[number] == 1) & (low < high))
-    data, offsets = flat(piece.take(pa.array(several)))
+    sorted_in = np.flatnonzero((times[number] > 1) | (low < high))
+    low, high, salts = low[sorted_in], high[sorted_in], salts[sorted_in]
+    data, offsets = flat(table.column("piece").combine_chunks().take(pa.array(sorted_in)))
     counts = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
-    owner = np.repeat(several, counts)
+    owner = np.repeat(np.arange(len(sorted_in)), counts)
     offset, group = repeated_windows(data, offsets, WIDTH)
     least = np.full(int(group.max(initial=-1)) + 1, _LAST)
     np.minimum.at(least, group, low[owner])
@@ -287,64 +293,69 @@ def _sorting(table: pa.Table) -> pa.Table:
     stop = np.append(begin[1:], len(owner))[: len(begin)] - 1
     later = first_in[begin] < high[owner[begin]]
     begin, stop = begin[later], stop[later]
-    whose = piece.take(pa.array(np.concatenate([owner[begin], lone]))).to_pylist()
-    ids = pa.array([_piece_id(p) for p in whose], pa.binary())
-    start, last = np.concatenate([offset[begin], np.zeros(len(lone), np.int64)]), np.concatenate([offset[stop], lengths[lone] - WIDTH])
-    return pa.Table.from_arrays([ids, pa.array(start), pa.array(last), pa.array(np.concatenate([first_in[begin], low[lone]]))], names=["piece_id", "from", "to", "first_ord"])
+    whose = owner[begin]
+    ids = _piece_ids(data, offsets[whose], offsets[whose + 1])
+    return pa.Table.from_arrays([pa.array(x) for x in (*ids, salts[whose], offset[begin], offset[stop], first_in[begin])], names=["id_a", "id_b", "salts", "from", "to", "first_ord"])
 
 
 def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, spans, kept = [], [], []
-        for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist(), strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
-            depth = np.zeros(len(data) + 1, np.int64)
-            at = np.array([(w["a"], w["b"]) for w in windows], np.int64).reshape(-1, 2)
-            np.add.at(depth, at[:, 0], 1)
-            np.add.at(depth, at[:, 1], -1)
+        for block in blocks(iter([batch])):
+            windows = block.rows.column("windows")
+            text = np.repeat(np.arange(len(windows)), pc.list_value_length(windows).to_numpy(zero_copy_only=False))
+            ends = windows.flatten()
+            begin, stop = (ends.field(c).to_numpy() + block.offsets[text] for c in ("a", "b"))
+            n = len(block.data)
+            depth = np.bincount(begin, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
             gone = np.cumsum(depth[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))
-            kept.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("d48"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept)], names=["ord", "d48", "n_removed", "n_spans", "kept_sha256"])
+            edge = np.zeros(n + 1, bool)
+            edge[block.offsets] = True
+            fresh = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])[:n]))
+            left, at = block.data[~gone], block.offsets - prefix(gone)[block.offsets]
+            kept = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            removed = np.diff(block.offsets) - np.diff(at)
+            spans = np.diff(np.searchsorted(fresh, block.offsets))
+            yield pa.RecordBatch.from_arrays([block.rows.column("ord"), block.rows.column("text_id"), pa.array(removed), pa.array(spans), pa.array(kept)], names=["ord", "text_id", "n_removed", "n_spans", "kept_sha256"])
 
 
 def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For documents (doc_id, text): all rows with their digests; texts with shared minimizers; their windows to remove."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text", F.unhex(sha256_hex(F.col("text"))).alias("digest")).withColumn("d48", _d48(F.col("digest")))
-    rows = stored(keyed.select("doc_id", "ord", "digest", "d48", F.octet_length("text").cast("bigint").alias("n_bytes"), F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")), "texts")
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text", F.unhex(sha256_hex(F.col("text"))).alias("digest")).withColumn("text_id", F.xxhash64("digest"))
+    rows = stored(keyed.select("doc_id", "ord", "digest", "text_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")), "texts")
     size = rows.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     total = size.n or 0
     bits = min(16, max(5, (total // 16 // BUCKET_BYTES * 11).bit_length()))
     crowd = max(CROWD, int(CROWD_SHARE * size.rows))
 
     met_at, pieces_at, whole_at = (shared_dir(spark, x) for x in ("met", "pieces", "distinct-pieces"))
-    gathered = keyed.select("d48", "text").mapInArrow(_gathering(bits), "bucket bigint, heads binary, hashes binary")
+    gathered = keyed.select("text_id", "digest", "text").mapInArrow(_gathering(bits), "bucket bigint, heads binary, hashes binary")
     met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "group bigint, heads binary, hashes binary"), "met", met_at)
     release(spark)
     # at most a number that depends on texts' lengths over CROWD_SHARE, however many texts there are
     hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("group = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
-    told = met.where("group >= 0").groupBy("group").applyInArrow(lambda table: _telling(table), "d48 bigint, hashes binary")
-    firsts = rows.groupBy("digest", "d48").agg(F.min("ord").alias("first_ord")).withColumnRenamed("digest", "first_digest")
-    asked = told.join(firsts, "d48").select("first_digest", "first_ord", "hashes")
+    told = met.where("group >= 0").groupBy("group").applyInArrow(lambda table: _telling(table), "text_id bigint, hashes binary")
+    firsts = rows.groupBy("digest", "text_id").agg(F.min("ord").alias("first_ord")).withColumnRenamed("digest", "first_digest")
+    asked = told.join(firsts, "text_id").select("first_digest", "first_ord", "hashes")
     near = keyed.join(asked, (keyed["ord"] == asked["first_ord"]) & (keyed["digest"] == asked["first_digest"]))
-    texts = stored(near.select("ord", "digest", "d48", "text", "hashes").dropDuplicates(["ord", "digest"]), "shared-texts")
+    texts = stored(near.select("ord", "digest", "text_id", "text", "hashes").dropDuplicates(["ord", "digest"]), "shared-texts")
     release(spark)
     discard(spark, met_at)
 
     emitted = stored(texts.mapInArrow(_emitting(bits, hot), _EMITTED), "pieces", pieces_at)
     release(spark)
-    whole = stored(emitted.where("piece IS NOT NULL").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high")), "distinct-pieces", whole_at)
+    whole = stored(emitted.where("piece IS NOT NULL").groupBy("piece", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("salts").alias("salts")), "distinct-pieces", whole_at)
     release(spark)
     shards = max(16, int((emitted.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // SHARD_BYTES))
     sharded = whole.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    runs = stored(sharded.groupBy("shard").applyInArrow(lambda table: _sorting(table), "piece_id binary, from bigint, to bigint, first_ord bigint"), "runs")
+    runs = stored(sharded.groupBy("shard").applyInArrow(lambda table: _sorting(table), _RUNS), "runs")
     release(spark)
     discard(spark, whole_at)
-    stand = emitted.select("piece_id", "ord", "d48", "place").join(runs, "piece_id").where(F.col("ord") > F.col("first_ord"))
-    spans = stand.select("ord", "d48", (F.col("place") + F.col("from")).alias("a"), (F.col("place") + F.col("to") + WIDTH).alias("b"))
-    windows = stored(spans.groupBy("ord", "d48").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")
+    salt = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")), lambda k: F.getbit("salts", k) == 1))
+    told_to = runs.select("id_a", "id_b", "from", "to", "first_ord", salt.alias("salt"))  # where the piece's rows are, and nowhere else
+    stand = emitted.select("id_a", "id_b", "salt", "ord", "text_id", "place").join(told_to, ["id_a", "id_b", "salt"]).where(F.col("ord") > F.col("first_ord"))
+    spans = stand.select("ord", "text_id", (F.col("place") + F.col("from")).alias("a"), (F.col("place") + F.col("to") + WIDTH).alias("b"))
+    windows = stored(spans.groupBy("ord", "text_id").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")
     release(spark)
     discard(spark, pieces_at)
     return rows, texts, windows
@@ -362,10 +373,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows, texts, windows = removed_windows(plain, salts)
-    changed = texts.select("ord", "d48", "text").join(windows, ["ord", "d48"]).select("ord", "d48", "text", "windows").mapInArrow(_removing, "ord bigint, d48 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    changed = texts.select("ord", "text_id", "text").join(windows, ["ord", "text_id"]).select("ord", "text_id", "text", "windows").mapInArrow(_removing, "ord bigint, text_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     copied = rows.groupBy("digest").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.collect_set("salt").alias("salts")).where("first_ord < last_ord")
     salted = copied.select("digest", F.explode("salts").alias("salt"), "first_ord")
-    judged = rows.join(salted, ["digest", "salt"], "left").join(changed, ["ord", "d48"], "left")
+    judged = rows.join(salted, ["digest", "salt"], "left").join(changed, ["ord", "text_id"], "left")
     copy = F.coalesce(F.col("ord") > F.col("first_ord"), F.lit(False)) & (F.col("n_bytes") >= WIDTH)
     zero = F.lit(0).cast("bigint")
     return judged.select(

@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyship.llm import suffixes
+from tallyship.llm import induced, suffixes
 from tallyship.llm.blocks import prefix
 from tallyship.llm.induced import permuted_common_prefixes, repeated_windows, suffix_array
 from tallyship.llm.suffixes import remove_repeats
@@ -21,6 +22,18 @@ def test_suffix_arrays(text):
     assert got.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 4, 50, 70_000])
+def test_suffix_arrays_by_recursion(monkeypatch, alphabet):
+    """Names of every alphabet are sorted by induction, down to strings of three."""
+    monkeypatch.setattr(induced, "FEW", 3)
+    monkeypatch.setattr(induced, "STRETCH", 5)
+    rng = np.random.default_rng(alphabet)
+    for k in range(60):
+        text = np.tile(rng.integers(0, alphabet, int(rng.integers(1, 150))), 1 + k % 3)
+        plain = text.tolist()
+        assert suffix_array(text).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(b"ab"), min_size=1, max_size=60))
 def test_common_prefixes(text):
@@ -92,6 +105,29 @@ def test_equals_all_windows(spark, monkeypatch, crowd):
     assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows)
 
 
+def test_pieces_of_a_shard_are_all_sorted(monkeypatch):
+    """A piece that alone has its minimizer is in the array too, if it stands in two documents."""
+    seen = []
+    monkeypatch.setattr(suffixes, "repeated_windows", lambda data, offsets, width: seen.append(data.tobytes()) or repeated_windows(data, offsets, width))
+    rng = np.random.default_rng(4)
+    one, two, three = (bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (81, 60, 55))
+    table = pa.table({"low": [1, 4, 7], "high": [2, 4, 9], "key": [5, 6, 7], "salts": [1, 1, 3], "piece": pa.array([one, two, three], pa.binary())})
+    runs = suffixes._sorting(table).to_pylist()
+    assert seen == [one + three]
+    assert sorted((r["from"], r["to"], r["first_ord"], r["salts"]) for r in runs) == [(0, 5, 7, 3), (0, 31, 1, 1)]
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    long = " ".join(word() for _ in range(500_000))
+    assert len(long) > 2 << 20
+    rows = [(1, "x#" + long[1_000_000:1_000_100] + "#y"), (2, long), (3, long[:70] + "!"), (4, long)]
+    got = {r[0]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and (got[2].n_removed, got[2].n_spans) == (100, 1) and (got[3].n_removed, got[4].n_removed) == (70, len(long))
+    assert got[2].kept_sha256 == hashlib.sha256((long[:1_000_000] + long[1_000_100:]).encode()).hexdigest()
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
