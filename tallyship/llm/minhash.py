@@ -1,12 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. A count-min sketch of fixed size counts in how many distinct texts each shingle of
-   five words occurs, over all of them. Weights are tf * idf, with an idf that is 1 for
-   shingles of less than a tenth of the texts and falls to a half for those of a
-   third and more; only frequencies of that order matter, which the sketch gives to
-   within two percent of the number of texts, however many, up to about 1,300 shingles
-   a text on average. From about 6,500 on every idf sinks below 1, and beyond about
-   20,000 all are near a half; links shift then, as weights stay alike between texts.
+1. A count-min sketch counts in how many distinct texts each shingle of five words
+   occurs, over all of them. Weights are tf * idf with idf = (1 + log(N/df) / log(N/df0)) / 2
+   for N texts: 1 for a shingle of df0 texts or fewer, a half for one of all texts. df0 is
+   what the sketch can tell apart: the shingles that share a counter on average, or 1 if
+   that is less, so N/df0 is 2**20 over the mean number of distinct shingles a text,
+   however many texts there are. The sketch is summed slice by slice over the cluster.
+   The half keeps the texts of a hot group together as candidates: with a bare log(N/df)
+   the words in which two copies differ outweigh all that they share, and a pair at 0.8
+   in a third of all texts would agree in a band with a probability of about a tenth.
 2. For each of 48 hash functions a text samples one (shingle, quantised weight) so
    that two texts agree with the probability of their weighted Jaccard similarity.
    Bands of four samples put texts into buckets. Equal texts are one node.
@@ -33,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import blocks, flat, mixed, stretch_hashes, words
+from tallyship.llm.blocks import BLOCK_ROWS, Block, blocks, flat, mixed, stretch_hashes, words
 from tallyship.llm.components import components
-from tallyship.llm.shared import stored, text_or_empty
+from tallyship.llm.shared import matching_rows, stored, text_or_empty
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
 
-#: The sketch's size; an idf is 1 below this share of the documents, and this at the least.
-SKETCH_ROWS, SKETCH_BITS, COMMON, LEAST_IDF = 2, 16, 0.1, 0.5
+#: The sketch's size, the slices in which it is summed, and the idf of a shingle of all texts.
+SKETCH_ROWS, SKETCH_BITS, SLICES, LEAST_IDF = 2, 20, 64, 0.5
 
 #: Bits of a shingle's hash; the others of a 64-bit key number the text in its block.
 HASH_BITS = np.uint64(48)
@@ -93,43 +95,49 @@ def _hash_of(keys: np.ndarray) -> np.ndarray:
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
-    for block in blocks(batches, limit=2 << 20):
+    for block in blocks(batches):
         shingles = _hash_of(shingle_keys(block.data, block.offsets)[0])
         for row, slots in _sketch_slots(shingles):
             counts[row] += np.bincount(slots, minlength=1 << SKETCH_BITS)
         n += block.rows.num_rows
     if n:
-        yield _sketch_row(counts, n)
+        for k, part in enumerate(np.split(counts, SLICES, axis=1)):
+            yield _slice_row(k, n, part)
 
 
-def _sketch_row(counts: np.ndarray, n: int) -> pa.RecordBatch:
+_SLICE = "slice int, n bigint, counts binary"
+
+
+def _slice_row(k: int, n: int, counts: np.ndarray) -> pa.RecordBatch:
     import zstandard
 
-    return pa.RecordBatch.from_pydict({"n": [n], "counts": [zstandard.compress(counts.tobytes(), 1)]})
+    return pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "n": [n], "counts": [zstandard.compress(counts.tobytes(), 1)]})
 
 
-def _add_sketches(rows: Iterator[tuple[int, bytes]]) -> tuple[np.ndarray, int]:
+def _slice_counts(packed: bytes) -> np.ndarray:
     import zstandard
 
-    counts, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
-    for more, packed in rows:
-        counts += np.frombuffer(zstandard.decompress(packed), np.int64).reshape(counts.shape)
-        n += more
-    return counts, n
+    return np.frombuffer(zstandard.decompress(packed), np.int64).reshape(SKETCH_ROWS, -1)
 
 
 def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, n = _add_sketches((a, b) for batch in batches for a, b in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist(), strict=True))
-    if n:
-        yield _sketch_row(counts, n)
+    sums: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for k, n, packed in zip(*(batch.column(c).to_pylist() for c in ("slice", "n", "counts")), strict=True):
+            more, counts = sums.get(k, (0, 0))
+            sums[k] = more + n, counts + _slice_counts(packed)
+    for k, (n, counts) in sums.items():
+        yield _slice_row(k, n, counts)
 
 
 class Weights:
     """Shingle weights from the document frequencies in a sketch."""
 
     def __init__(self, counts: np.ndarray, n_docs: int):
-        share = np.maximum(counts, 1) / max(n_docs, 1)
-        self.idf = np.clip(np.log(1 / share) / math.log(1 / COMMON), LEAST_IDF, 1).astype(np.float32)
+        least = max(1.0, counts[0].sum() / counts.shape[1])  # a frequency below this cannot be told from it
+        spread = math.log(max(n_docs / least, 2.0))
+        common = np.log(np.maximum(n_docs, 1) / np.maximum(counts, least)) / spread
+        self.idf = np.clip(LEAST_IDF + (1 - LEAST_IDF) * common, LEAST_IDF, 1).astype(np.float32)
 
     def of(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """tf * idf; the sketch's least count is nearest the truth, so the greatest idf counts."""
@@ -140,9 +148,13 @@ class Weights:
 
 
 def weights_of(docs: DataFrame) -> Weights:
-    """Weights over all distinct texts of documents (text, digest); the driver gets 16 sketches of fixed size at most."""
-    rows = docs.select("digest", "text").dropDuplicates(["digest"]).select("text").mapInArrow(_sketching, "n bigint, counts binary").repartition(16).mapInArrow(_merging, "n bigint, counts binary").collect()
-    return Weights(*_add_sketches((r.n, bytes(r.counts)) for r in rows))
+    """Weights over all distinct texts of documents (text, digest); the driver gets one sketch of fixed size."""
+    sketched = docs.select("digest", "text").dropDuplicates(["digest"]).select("text").mapInArrow(_sketching, _SLICE)
+    counts, n = np.zeros((SKETCH_ROWS, SLICES, (1 << SKETCH_BITS) // SLICES), np.int64), 0
+    for r in sketched.repartition("slice").mapInArrow(_merging, _SLICE).collect():
+        counts[:, r.slice] += _slice_counts(bytes(r.counts))
+        n = max(n, r.n)
+    return Weights(counts.reshape(SKETCH_ROWS, -1), n)
 
 
 class Sampler:
@@ -200,12 +212,23 @@ def _signing(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return sign
 
 
+def _pairs(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch between rows so that both sides' texts have at most ``limit`` bytes, or are a single pair."""
+    total = flat(batch.column("a_text"))[1] + flat(batch.column("b_text"))[1]
+    first = 0
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
+        stop = min(stop, first + BLOCK_ROWS)
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def _comparing(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in blocks(iter([batch]), "a_text", limit=4 << 20):
-                sides = []
-                for block in (rows, *blocks(iter([rows.rows]), "b_text", limit=1 << 62)):
+            for part in _pairs(batch, 4 << 20):
+                rows, sides = Block(part, *flat(part.column("a_text"))), []
+                for block in (rows, Block(part, *flat(part.column("b_text")))):
                     keys, tf = shingle_keys(block.data, block.offsets)
                     sides.append((keys, weights.of(_hash_of(keys), tf), tf))
                 (a, *of_a), (b, *of_b) = sides
@@ -368,14 +391,14 @@ def _compare(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each class the one with the smallest id stays, with all its columns.
+    """The documents without near-duplicates: of each class the one with the smallest id stays, with all its columns, whatever their names.
 
     A null id gives way to any other; among rows with the same id in a class, the
-    smallest digest of the text decides, and of wholly equal ones one stays.
+    smallest digest of the text decides, and of wholly equal ones one stays. A null
+    text counts as empty. No rows give no rows. The documents themselves are shuffled
+    once, to meet the ids and digests of those that stay.
     """
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")
-    chosen = near_duplicates(docs, id_col, text_col).groupBy("label").agg(one).select(F.col("one.doc_id").alias("_kept_id"), F.col("one.digest").alias("_kept_digest"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("_row_digest", _digest(text_col))
-    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest"))
-    return marked.join(chosen, same).dropDuplicates(["_kept_id", "_kept_digest"]).select(*names)
+    alike = near_duplicates(docs, id_col, text_col).groupBy("label", F.col("doc_id").alias("id"), "digest").agg(F.count(F.lit(1)).alias("n"))
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("one")
+    chosen = stored(alike.groupBy("label").agg(one).select("one.id", "one.digest", "one.n"), "kept-rows")
+    return matching_rows(docs, {"id": F.col(f"`{id_col}`").cast("bigint"), "digest": _digest(text_col)}, chosen)
