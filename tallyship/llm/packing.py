@@ -22,8 +22,11 @@ from tallyship.llm.blocks import blocks
 from tallyship.llm.shared import stored
 from tallyship.llm.tokens import text_encoder, with_end
 
-#: Tokens of a sequence, and keys over which pieces of equal length are spread for ranking.
-CAPACITY, SALTS = 2048, 64
+#: Tokens of a sequence.
+CAPACITY = 2048
+
+#: Groups into which pieces are dealt for ranking, and the fewest and most pieces that a group is to have.
+GROUPS, LEAST_GROUP, MOST_GROUP = 4096, 256, 1 << 17
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -140,7 +143,13 @@ def _placing(plan: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]]
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def _salts(counts: np.ndarray) -> list[int]:
+    """For each length, over how many groups its pieces are spread: as many as their number asks for, so that no group grows with the input."""
+    group = min(max(int(counts.sum()) // GROUPS, LEAST_GROUP), MOST_GROUP)
+    return [max(1, -(-int(n) // group)) for n in counts]
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places pieces (as ``cut_pieces`` gives them) in sequences: adds sequence_id and offset.
 
     Offsets leave no gaps from 0 on, and no sequence holds more than ``capacity``.
@@ -148,17 +157,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     every column may change places. No pieces give no rows.
 
     The driver holds the number of pieces of each length (``capacity`` numbers) and
-    the plan made from them; its size depends on the capacity alone.
+    the plan made from them; its size depends on the capacity alone. A length of many
+    pieces is ranked in as many groups as it needs, by a hash of the piece.
     """
-    held = stored(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
-    shares = held.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # capacity x salts rows at most
+    held = stored(pieces, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in shares.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row.length] = row.n
+    spread = F.element_at(F.lit(_salts(counts)).cast("array<bigint>"), (F.col("length") + 1).cast("int"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), spread))
+    shares = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # a row for each group
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = shares.select("length", "salt", before.alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = held.withColumn("local", local).join(bases, ["length", "salt"]).withColumn("rank", (F.col("base") + F.col("local")).cast("bigint"))
+    ranked = salted.withColumn("local", local).join(bases, ["length", "salt"]).withColumn("rank", (F.col("base") + F.col("local")).cast("bigint"))
     schema = PIECES + ", sequence_id bigint, offset bigint"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placing(slots(plan_bins(counts))), schema)
 
