@@ -76,23 +76,55 @@ def _pythonic(rule: str) -> str:
     return _conditional(out)
 
 
-def _conditional(text: str) -> str:
-    """``a ? b : c`` as ``(b) if (a) else (c)``, from the outermost on."""
-    depth, quote, mark = 0, "", -1
-    for i, ch in enumerate(text):
+def _outside_quotes(text: str) -> list[tuple[int, str]]:
+    """Places and characters that stand in no string literal."""
+    out, quote, i = [], "", 0
+    while i < len(text):
+        ch = text[i]
         if quote:
-            quote = "" if ch == quote and text[i - 1] != "\\" else quote
+            i += ch == "\\"  # the next character is escaped
+            quote = "" if ch == quote else quote
         elif ch in "'\"":
             quote = ch
-        elif ch in "([{":
+        else:
+            out.append((i, ch))
+        i += 1
+    return out
+
+
+def _conditional(text: str) -> str:
+    """``a ? b : c`` as ``(b) if (a) else (c)``: inside brackets and arguments first, then on the level of the text itself."""
+    flat, depth, begin = "", 0, 0
+    opened: list[int] = []  # where arguments of the outermost bracket begin
+    for i, ch in _outside_quotes(text):
+        if ch in "([{":
             depth += 1
+            if depth == 1:
+                flat += text[begin : i + 1]
+                opened = [i + 1]
+        elif ch == "," and depth == 1:
+            opened.append(i + 1)
         elif ch in ")]}":
             depth -= 1
-        elif ch == "?" and depth == 0 and mark < 0:
-            mark = i
-        elif ch == ":" and depth == 0 and mark >= 0 and text.count("?", mark + 1, i) == text.count(":", mark + 1, i):
-            return f"({_conditional(text[mark + 1 : i])}) if ({text[:mark]}) else ({_conditional(text[i + 1 :])})"
-    return text
+            if depth == 0:
+                stops = [x - 1 for x in opened[1:]] + [i]
+                flat += ",".join(_conditional(text[a:b]) for a, b in zip(opened, stops, strict=True))
+                begin = i
+    flat += text[begin:]
+    depth = nested = 0
+    mark = -1
+    for i, ch in _outside_quotes(flat):
+        depth += (ch in "([{") - (ch in ")]}")
+        if depth:
+            continue
+        if ch == "?":
+            nested += mark >= 0
+            mark = i if mark < 0 else mark
+        elif ch == ":" and mark >= 0:
+            if not nested:
+                return f"({_conditional(flat[mark + 1 : i])}) if ({flat[:mark]}) else ({_conditional(flat[i + 1 :])})"
+            nested -= 1
+    return flat
 
 
 _COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
@@ -177,7 +209,7 @@ class _Compiler:
         a, b = self.term(node.left), self.term(node.right)
         if isinstance(node.op, ast.Add) and "string" in (a.kind, b.kind):
             return _ok(F.concat(a.value, b.value), "string", a, b)
-        tries = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply, ast.Div: lambda x, y: F.try_divide(x, y).cast("bigint")}
+        tries = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply, ast.Div: lambda x, y: F.try_divide(x, y).cast("bigint"), ast.Mod: F.try_mod}
         if type(node.op) not in tries:
             raise RuleError(f"no operator of rules: {ast.unparse(node)}")
         value = tries[type(node.op)](a.value, b.value)  # overflow and division by zero are failures
@@ -186,7 +218,12 @@ class _Compiler:
     def _compare(self, node: ast.Compare) -> Term:
         if len(node.ops) != 1:
             raise RuleError(f"one comparison at a time: {ast.unparse(node)}")
-        a, op, b = self.term(node.left), node.ops[0], self.term(node.comparators[0])
+        op = node.ops[0]
+        if isinstance(op, (ast.In, ast.NotIn)) and (held := self.scope.maps.get(_name_of(node.comparators[0]))) is not None:
+            key = self.term(node.left)
+            there = F.coalesce(F.map_contains_key(held, key.value), F.lit(False))
+            return _ok(there if isinstance(op, ast.In) else ~there, "bool", key)
+        a, b = self.term(node.left), self.term(node.comparators[0])
         if isinstance(op, (ast.In, ast.NotIn)):
             there = F.coalesce(F.array_contains(b.value, a.value), F.lit(False)) if b.kind == "list" else F.lit(None).cast("boolean")
             bad = F.lit(b.kind != "list")

@@ -95,6 +95,23 @@ def size_text(n: Column) -> Column:
     return shown
 
 
+def time_ago(seconds: Column) -> Column:
+    """How long ago something was, in the largest whole unit up to days."""
+    shown = F.concat(F.floor(seconds).cast("string"), F.lit("s ago"))
+    for size, unit in ((60, "m"), (3600, "h"), (86400, "d")):
+        shown = F.when(seconds >= size, F.concat(F.floor(seconds / size).cast("string"), F.lit(f"{unit} ago"))).otherwise(shown)
+    return shown
+
+
+def window_text(seconds: Column) -> Column:
+    """A window of time in words, in the largest whole unit up to days."""
+    shown = F.concat(seconds.cast("string"), F.lit(" seconds"))
+    for size, unit in ((1, "second"), (60, "minute"), (3600, "hour"), (86400, "day")):
+        n = F.floor(seconds / size)
+        shown = F.when(seconds >= size, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))).otherwise(shown)
+    return shown
+
+
 def hmac_sha256(key: str):
     """A function of a string column that signs its bytes; Spark has no such built-in."""
 

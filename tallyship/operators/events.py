@@ -31,6 +31,19 @@ def first_error(outcomes: DataFrame, key: list[str], error: str = "error", seq:
     return outcomes.groupBy(*key).agg(F.min_by(F.when(counts, F.col(error)), F.when(counts, F.col(seq))).alias("first_error"), F.count_if(F.col(error).isNotNull()).alias("failures"))
 
 
+def delivery_outcomes(attempts: DataFrame) -> DataFrame:
+    """Events after all attempts (event_id, endpoint, policy, attempt, error): how many endpoints have them, how many gave up, and whether the event stands.
+
+    Every endpoint is served, whatever happens to the others. An event fails if a
+    required endpoint gave up; the first such, in order of endpoints, says why.
+    """
+    last = attempts.groupBy("event_id", "endpoint", "policy").agg(F.max_by("error", "attempt").alias("error"))
+    bad = F.col("error").isNotNull()
+    first = F.min(F.when(bad & (F.col("policy") == "required"), F.struct("endpoint", "error")))
+    out = last.groupBy("event_id").agg(F.count_if(~bad).alias("delivered"), F.count_if(bad).alias("gave_up"), first.alias("_first"))
+    return out.select("event_id", "delivered", "gave_up", F.col("_first.endpoint").alias("failed_endpoint"), F.col("_first.error").alias("first_error"))
+
+
 def policy_input(columns: dict[str, Column], action: Column) -> Column:
     """A request as policies see it: a map of the fields that are set."""
     entries = F.array(F.struct(F.lit("action").alias("key"), action.alias("value")), *(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in columns.items()))

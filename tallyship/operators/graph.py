@@ -55,33 +55,44 @@ def orphan_cascade(revisions: DataFrame, pins: DataFrame, edge_rows: DataFrame,
     subject. A revision falls once
     nothing that stays refers to it. Deleting parents frees children, so rounds go on
     until one finds none; content addresses have no cycles, so their number is the
-    depth of the graph. Each round's small result is checkpointed to cut lineage.
+    depth of the graph.
+
+    How many hold a candidate is counted once. A round then joins only the edges of
+    what fell in the one before, and a candidate falls when as many of its holders are
+    gone as it has. Each round's small results are checkpointed to cut lineage;
+    without ``checkpoint`` the plan grows with the depth.
     """
-    candidates = revisions.join(deletable, ["ns", "digest"], "left_semi").join(pins.select("ns", "digest"), ["ns", "digest"], "left_anti")
-    inner = edge_rows.join(revisions, ["ns", "digest"], "left_semi").select("ns", "digest", "target")
-    gone, depth = None, 0
-    while True:
-        left = candidates if gone is None else candidates.join(gone, ["ns", "digest"], "left_anti")
-        holding = inner if gone is None else inner.join(gone, ["ns", "digest"], "left_anti")
-        held = holding.select("ns", F.col("target").alias("digest")).distinct()
-        fall = left.join(held, ["ns", "digest"], "left_anti").select("ns", "digest").distinct().withColumn("round", F.lit(depth))
-        fall = fall.checkpoint() if checkpoint else fall.persist()
-        if fall.isEmpty():
-            return gone if gone is not None else fall
-        gone = fall if gone is None else gone.unionByName(fall)
+    kept = lambda df: df.checkpoint() if checkpoint else df
+    candidates = revisions.join(deletable, ["ns", "digest"], "left_semi").join(pins.select("ns", "digest"), ["ns", "digest"], "left_anti").distinct()
+    inner = kept(edge_rows.join(revisions, ["ns", "digest"], "left_semi").select("ns", "digest", "target").distinct())
+    holders = inner.groupBy("ns", F.col("target").alias("digest")).agg(F.count(F.lit(1)).alias("holders"))
+    counted = kept(candidates.join(holders, ["ns", "digest"], "left").withColumn("holders", F.coalesce("holders", F.lit(0))))
+    fall = kept(counted.where("holders = 0").select("ns", "digest", F.lit(0).alias("round")))
+    gone, freed, depth = fall, None, 0
+    while not fall.isEmpty():
         depth += 1
+        less = inner.join(fall.select("ns", "digest"), ["ns", "digest"]).groupBy("ns", F.col("target").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+        less = kept(less.join(counted.select("ns", "digest"), ["ns", "digest"], "left_semi"))
+        freed = less if freed is None else freed.unionByName(less)
+        so_far = freed.join(less.select("ns", "digest"), ["ns", "digest"], "left_semi").groupBy("ns", "digest").agg(F.sum("n").alias("n"))
+        fall = kept(so_far.join(counted, ["ns", "digest"]).where("n = holders").select("ns", "digest", F.lit(depth).alias("round")))
+        gone = gone.unionByName(fall)
+    return gone
 
 
 def push_order(edge_rows: DataFrame, roots: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """Manifests below roots (ns, digest) with their greatest depth; deeper ones go first, and any beyond ``deepest`` is ``too_deep``.
 
-    A level a step, at most ``deepest`` + 1 of them, all in one lazy plan.
+    A level a step, at most ``deepest`` + 1 of them; each is checkpointed, so it is
+    made once and joins only the level above.
     """
     level = roots.select("ns", F.col("digest").alias("root"), "digest", F.lit(0).alias("depth"))
+    child = edge_rows.select("ns", "digest", "target")
     every = level
     for depth in range(1, deepest + 2):
-        child = edge_rows.select("ns", "digest", "target")
-        level = level.select("ns", "root", "digest").join(child, ["ns", "digest"]).select("ns", "root", F.col("target").alias("digest")).distinct().withColumn("depth", F.lit(depth))
+        level = level.select("ns", "root", "digest").join(child, ["ns", "digest"]).select("ns", "root", F.col("target").alias("digest")).distinct().withColumn("depth", F.lit(depth)).checkpoint()
+        if level.isEmpty():
+            break
         every = every.unionByName(level)
     deepest_at = every.groupBy("ns", "root", "digest").agg(F.max("depth").alias("depth"))
     return deepest_at.withColumn("too_deep", F.col("depth") > deepest)

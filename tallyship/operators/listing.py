@@ -68,3 +68,30 @@ def display_order(roots: DataFrame) -> DataFrame:
     first = F.array_min("tags")
     order = Window.partitionBy("ns").orderBy(F.when(first.isNull(), 1).otherwise(0), first, "digest")
     return roots.withColumn("position", F.row_number().over(order))
+
+
+def followed_pages(pages: DataFrame, most: int = 10_000) -> DataFrame:
+    """Pages (listing, location, next, first) in the order in which their links lead from the first on: listing, location, position.
+
+    A link to a page that has been seen ends a listing with what there is; so does one
+    to no page. Paths are doubled in each round, so ``most`` pages take log2(most) of
+    them; a listing that leads on and on has ``most`` at least and is cut there.
+    """
+    step = pages.where("next IS NOT NULL").select("listing", "location", F.col("next").alias("to"))
+    seen = pages.where("first").select("listing", "location", F.lit(0).cast("bigint").alias("position"))
+    reach, rows = 1, -1
+    while reach < 2 * most:
+        ahead = seen.join(step, ["listing", "location"]).select("listing", F.col("to").alias("location"), (F.col("position") + reach).alias("position"))
+        seen = seen.unionByName(ahead).groupBy("listing", "location").agg(F.min("position").alias("position")).checkpoint()
+        if (now := seen.count()) == rows:
+            break
+        twice = step.select("listing", F.col("to").alias("location"), F.col("location").alias("_from"))
+        step = twice.join(step, ["listing", "location"]).select("listing", F.col("_from").alias("location"), "to").checkpoint()
+        reach, rows = 2 * reach, now
+    return seen.join(pages.select("listing", "location"), ["listing", "location"], "left_semi").where(F.col("position") < most)
+
+
+def remote_items(pages: DataFrame, valid: Column, most: int = 10_000) -> DataFrame:
+    """The items of followed pages (which have ``items``), page after page and not deduplicated; those that are not ``valid`` (a test of the column item) are dropped."""
+    order = followed_pages(pages, most)
+    return order.join(pages.select("listing", "location", F.posexplode("items").alias("place", "item")), ["listing", "location"]).where(valid).select("listing", "position", "place", "item")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,23 @@ def ranked(tags: DataFrame, time: str, name: str, group: str = "ns", tag: str =
     return tags.withColumn(name, F.when(F.col(time).isNotNull(), F.row_number().over(order)))
 
 
+def ranked_to(tags: DataFrame, time: str, name: str, most: int, group: str = "ns", tag: str = "tag") -> DataFrame:
+    """As ``ranked``, with null for ranks above ``most``: only so many rows of a group come together, whatever its size."""
+    if most < 1:
+        return tags.withColumn(name, F.lit(None).cast("int"))
+    order = Window.partitionBy(group).orderBy(F.col(time).desc(), F.col(tag))
+    top = tags.where(F.col(time).isNotNull() & F.col(tag).isNotNull()).select(group, tag, time).withColumn(name, F.row_number().over(order)).where(F.col(name) <= most)
+    return tags.join(top.select(group, tag, name), [group, tag], "left")
+
+
+def highest_rank(rules: list[str], function: str) -> int | None:
+    """The greatest rank that rules ask for by ``function``, 0 if they do not; null if an argument is no plain number."""
+    asked = [a.strip() for rule in rules for a in re.findall(rf"\b{function}\s*\(([^()]*)\)", rule)]
+    if len(asked) < sum(len(re.findall(rf"\b{function}\b", rule)) for rule in rules) or not all(re.fullmatch(r"-?\d{1,9}", a) for a in asked):
+        return None
+    return max([0, *map(int, asked)])
+
+
 def with_last_pull(tags: DataFrame, pulls: DataFrame, inline: str | None = None) -> DataFrame:
     """Tags with ``pulled_ms``: the newest pull of each, or the inline time if that is newer; null if neither is known."""
     newest = pulls.groupBy("ns", "tag").agg(F.max("ms").alias("_pull"))
@@ -31,8 +50,15 @@ def image_scope(now: int, tag: str = "tag") -> R.Scope:
 
 
 def verdicts(tags: DataFrame, rules: list[str], now: int, global_rules: list[str] | None = None) -> DataFrame:
-    """Tags (ns, tag, digest, pushed_ms, pulled_ms) with ranks, retain, outcome and matched_rule."""
-    both = ranked(ranked(tags, "pushed_ms", "pushed_rank"), "pulled_ms", "pulled_rank")
+    """Tags (ns, tag, digest, pushed_ms, pulled_ms), each once, with ranks, retain, outcome and matched_rule.
+
+    Ranks go as far as the rules look at them, and are null beyond.
+    """
+    both = tags
+    for time, name, function in (("pushed_ms", "pushed_rank", "top_pushed"), ("pulled_ms", "pulled_rank", "top_pulled")):
+        most = highest_rank([*rules, *(global_rules or [])], function)
+        both = ranked(both, time, name) if most is None else ranked_to(both, time, name, most)
+    both = both.select(*tags.columns, "pushed_rank", "pulled_rank")
     scope = image_scope(now)
     verdict = R.evaluate(rules, scope)
     retain = R.either_retains(global_rules or [], rules, scope)

@@ -11,7 +11,7 @@ from tallyship.operators import retention as P
 from tallyship.operators import routing as T
 from tallyship.operators.queue import ready
 from tallyship.plans.registry import query
-from tallyship.sources.adapters import NOW_MS, Tables, with_sql
+from tallyship.sources.adapters import NOW_MS, Tables, event_endpoints, with_sql
 
 #: Requests out of events: the type is the action, and fields are left out where a policy has to test for them.
 _ACTIONS = {"view": "get-manifest", "click": "get-blob", "purchase": "put-manifest", "signup": "list-tags", "error": "delete-manifest"}
@@ -88,16 +88,11 @@ def p9_artifact_filter(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.matches_artifact(wanted, F.when(F.col("p_size") > 25, F.col("p_type")), F.col("p_brand")).alias("matches"))
 
 
-def _endpoints(t: Tables) -> DataFrame:
-    rows = [("audit", "required", ["view", "click", "view"], []), ("builds", "async", ["purchase"], ["^org[12]/"]), ("alerts", "optional", ["error"], ["u1", "zzz"])]
-    return t.spark.createDataFrame(rows, "endpoint string, policy string, kinds array<string>, filters array<string>")
-
-
 @query(with_sql("tag_events", """SELECT event_id, 'audit' AS endpoint, 'required' AS policy FROM tag_events WHERE tag IN ('view', 'click') UNION ALL
 SELECT event_id, 'builds', 'async' FROM tag_events WHERE tag = 'purchase' AND regexp_matches(ns, '^org[12]/') UNION ALL SELECT event_id, 'alerts', 'optional' FROM tag_events WHERE tag = 'error' AND contains(ns, 'u1')"""))
 def p10_event_fan_out(t: Tables) -> DataFrame:
     events = t.tag_events().select("event_id", F.col("tag").alias("kind"), F.col("ns").alias("repository"))
-    return T.deliveries(events, _endpoints(t)).select("event_id", "endpoint", "policy")
+    return T.deliveries(events, event_endpoints(t)).select("event_id", "endpoint", "policy")
 
 
 @query(with_sql("tag_events", "SELECT event_id, tag IN ('view', 'click') AND regexp_matches(ns, '^org3') AS replicated FROM tag_events"))
@@ -161,3 +156,55 @@ def a13_first_failure(t: Tables) -> DataFrame:
 @query(f"SELECT event_id, {NOW_MS} - ms <= 3600000 * 24 AS valid FROM ({with_sql('tag_events', 'SELECT * FROM tag_events')})")
 def t8_cache_validity(t: Tables) -> DataFrame:
     return t.tag_events().select("event_id", (F.lit(NOW_MS) - F.col("ms") <= 86_400_000).alias("valid"))
+
+
+@query(with_sql("tag_events", """SELECT event_id, (event_id % 4 <> 3)::INT + (event_id % 3 > 0)::INT AS delivered, (event_id % 4 = 3)::INT + (event_id % 3 = 0)::INT AS gave_up, CASE WHEN event_id % 4 = 3 THEN 'audit' END AS failed_endpoint,
+CASE WHEN event_id % 4 = 3 THEN 'try 2' END AS first_error FROM tag_events"""))
+def t2_delivery_outcomes(t: Tables) -> DataFrame:
+    """Two endpoints get every event; the required one answers at the third attempt, or never, the other now and then not at all."""
+    tries = t.tag_events().select("event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt"))
+    said = F.concat(F.lit("try "), F.col("attempt").cast("string"))
+    audit = tries.select("event_id", "attempt", F.lit("audit").alias("endpoint"), F.lit("required").alias("policy"), F.when((F.col("attempt") < 2) | (F.col("event_id") % 4 == 3), said).alias("error"))
+    alerts = tries.select("event_id", "attempt", F.lit("alerts").alias("endpoint"), F.lit("optional").alias("policy"), F.when(F.col("event_id") % 3 == 0, said).alias("error"))
+    return E.delivery_outcomes(audit.unionByName(alerts))
+
+
+@query("""SELECT p_partkey, p_partkey % 7 = 3 AS remainder, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END = 'ECONOMY' AS chosen, p_partkey % 3 > 0 AS has_key, CASE WHEN p_size % 5 = 0 THEN 'indeterminate' WHEN 100 % (p_size % 5) = 0 THEN 'matched' ELSE 'no_match' END AS guarded FROM part""")
+def f4_rule_language(t: Tables) -> DataFrame:
+    """Remainders, conditionals inside brackets, and keys of maps, in rules."""
+    claims = F.when(F.col("p_partkey") % 3 > 0, F.create_map(F.lit("brand"), "p_brand"))
+    scope = R.Scope(nullable={"part.key": F.col("p_partkey"), "part.size": F.col("p_size").cast("bigint"), "part.brand": F.col("p_brand"), "part.type": F.col("p_type")}, maps={"part.claims": claims}, kinds={"part.key": "int", "part.size": "int"})
+    rules = {"remainder": "part.key % 7 == 3", "chosen": "(part.size > 25 ? part.brand : part.type) == 'ECONOMY'", "has_key": "'brand' in part.claims"}
+    return t.part.select("p_partkey", *(R.compile_rule(r, scope).value.alias(n) for n, r in rules.items()), R.evaluate(["100 % (part.size % 5) == 0"], scope)["outcome"].alias("guarded"))
+
+
+_RULES = {"image.tag == 'v1'": "compiles", "": "refused", "   ": "refused", "image.tag ==": "refused", "image.nothing == 1": "refused", "top_pushed(3) || image.tag in ['a']": "compiles", "what()": "refused", "(true ? 1 : 2) == 1": "compiles"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(rule.replace("'", "''"), status) for rule, status in _RULES.items()) + ") t(rule, status)")
+def p1_rule_compilation(t: Tables) -> DataFrame:
+    """Which rules compile; what is blank, unreadable or unknown is refused before anything runs."""
+
+    def status(rule: str) -> str:
+        try:
+            R.compile_rule(rule, P.image_scope(0))
+        except R.RuleError:
+            return "refused"
+        return "compiles"
+
+    return t.spark.createDataFrame([(rule, status(rule)) for rule in _RULES], "rule string, status string")
+
+
+@query("SELECT * FROM (VALUES ('top_pulled(1)', true, 'accepted'), ('top_pulled(1)', false, 'refused'), ('image.last_pulled_at > 5', false, 'refused'), ('top_pushed(1)', false, 'accepted')) t(rule, recorded, status)")
+def p18_pull_times_recorded(t: Tables) -> DataFrame:
+    """Rules over pull times need them recorded."""
+
+    def status(rule: str, recorded: bool) -> str:
+        try:
+            P.check_pull_times([rule], recorded)
+        except R.RuleError:
+            return "refused"
+        return "accepted"
+
+    asked = [("top_pulled(1)", True), ("top_pulled(1)", False), ("image.last_pulled_at > 5", False), ("top_pushed(1)", False)]
+    return t.spark.createDataFrame([(rule, recorded, status(rule, recorded)) for rule, recorded in asked], "rule string, recorded boolean, status string")

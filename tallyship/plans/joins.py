@@ -9,13 +9,12 @@ from tallyship.functions.scalars import epoch_millis
 from tallyship.operators import diff as D
 from tallyship.operators import graph as G
 from tallyship.operators import liveness as L
-from tallyship.operators import maintenance as M
 from tallyship.operators import resolve as R
 from tallyship.operators import retention as P
 from tallyship.operators import routing as T
 from tallyship.plans.registry import query
 from tallyship.sources import sinks as N
-from tallyship.sources.adapters import DAY_MS, NOW, NOW_MS, Tables, with_sql
+from tallyship.sources.adapters import DAY_MS, NOW_MS, Tables, with_sql
 
 
 @query(with_sql("tag_events winners live pulls", "SELECT l.ns, l.tag, greatest(max(p.ms), any_value(l.ms)) AS pulled_ms FROM live l LEFT JOIN pulls p USING (ns, tag) GROUP BY l.ns, l.tag"))
@@ -157,9 +156,9 @@ def j16_resolvable_tags(t: Tables) -> DataFrame:
 
 
 @query("""SELECT ns, digest, policy, CASE WHEN digest % 3 > 0 THEN 'keep' WHEN policy = 'strict' THEN 'fail' WHEN policy = 'permissive' THEN 'drop' WHEN digest % 2 = 0 THEN 'grant' ELSE 'fail' END AS action
-FROM (SELECT DISTINCT concat('org', l_orderkey % 5) AS ns, l_partkey AS digest FROM lineitem WHERE l_linenumber = 1), (VALUES ('strict'), ('permissive'), ('trusted')) p(policy)""")
+FROM (SELECT DISTINCT concat('org', l_orderkey % 5) AS ns, l_partkey AS digest FROM lineitem), (VALUES ('strict'), ('permissive'), ('trusted')) p(policy)""")
 def j17_missing_references(t: Tables) -> DataFrame:
-    wanted = t.lineitem.where("l_linenumber = 1").select(F.concat(F.lit("org"), (F.col("l_orderkey") % 5).cast("string")).alias("ns"), F.col("l_partkey").alias("digest")).distinct()
+    wanted = t.lineitem.select(F.concat(F.lit("org"), (F.col("l_orderkey") % 5).cast("string")).alias("ns"), F.col("l_partkey").alias("digest")).distinct()
     granted, blobs = wanted.where("digest % 3 > 0"), wanted.where("digest % 2 = 0")
     parts = [L.check_references(wanted, granted, blobs, p).withColumn("policy", F.lit(p)) for p in ("strict", "permissive", "trusted")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("ns", "digest", "policy", "action")
@@ -219,9 +218,9 @@ def j25_dead_referrers(t: Tables) -> DataFrame:
     return L.dead_referrers(records, r.where("status <> 'F'"), NOW_MS, 800_000_000_000).select("ns", "referrer")
 
 
-@query("""SELECT l_partkey AS digest, bool_and(o_orderstatus IS NOT NULL AND o_orderstatus <> 'F') AS all_live, count(*) AS members FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey % 3 = 0) LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+@query("""SELECT l_partkey AS digest, bool_and(o_orderstatus IS NOT NULL AND o_orderstatus <> 'F') AS all_live, count(*) AS members FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def j26_back_reference_sets(t: Tables) -> DataFrame:
-    sets = t.lineitem.where("l_partkey % 3 = 0").groupBy(F.lit("a").alias("ns"), F.col("l_partkey").alias("digest")).agg(F.collect_set("l_orderkey").alias("referenced_by"))
+    sets = t.lineitem.groupBy(F.lit("a").alias("ns"), F.col("l_partkey").alias("digest")).agg(F.collect_set("l_orderkey").alias("referenced_by"))
     live = t.orders.where("o_orderstatus <> 'F'").select(F.lit("a").alias("ns"), F.col("o_orderkey").alias("digest"))
     return L.rehomed_back_references(sets, live)[1].select("digest", "all_live", "members")
 
@@ -292,14 +291,6 @@ def u7_index_descriptors(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.coalesce(F.size(G.without_descriptor(G.with_descriptor(index, d("b")), F.lit("b"))), F.lit(0)).alias("_b"), F.coalesce(F.size(G.without_descriptor(index, F.lit("a"))), F.lit(0)).alias("kept")).drop("_b")
 
 
-@query("""SELECT 'DeleteTag' AS action, 'retention' AS reason, (SELECT count(*) FROM ({v}) WHERE rule IS NULL) AS n UNION ALL SELECT 'DeleteOrphanManifest', 'unreferenced', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'DeleteOrphanJob', 'downstream', count(*) FROM orders WHERE o_orderkey % 7 = 0""".format(v=with_sql("tag_events winners live", f"SELECT CASE WHEN tag = 'click' OR ms // 1000 > {NOW} - 86400 THEN 1 END AS rule FROM live")))
-def k7_maintenance_plan(t: Tables) -> DataFrame:
-    tags = R.live_tags(t.tag_events()).select("ns", "tag", "digest", F.col("ms").alias("pushed_ms"), F.lit(None).cast("bigint").alias("pulled_ms"))
-    doomed = P.verdicts(tags, ["image.tag == 'click'", "image.pushed_at > now() - days(1)"], NOW).where(~F.col("retain"))
-    r = t.revisions()
-    return M.report(M.plan(M.actions(doomed, "DeleteTag", "retention"), M.actions(r.where("status = 'F'"), "DeleteOrphanManifest", "unreferenced"), M.actions(t.jobs().where("seq % 7 = 0").select(F.col("id").alias("key")), "DeleteOrphanJob", "downstream")))
-
-
 @query(with_sql("edges", "SELECT digest, 0 AS wave, count(*) AS n FROM edges GROUP BY digest UNION ALL SELECT o_orderkey, 1, 1 FROM orders UNION ALL SELECT o_orderkey, 2, 1 FROM orders WHERE o_orderkey % 2 = 0"))
 def k6_write_waves(t: Tables) -> DataFrame:
     o = t.revisions().select("digest", F.lit("revision").alias("kind"))

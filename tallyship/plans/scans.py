@@ -221,7 +221,7 @@ def f13_backoff_and_durations(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", C.backoff_ms((k % 12).cast("int")).alias("delay"), C.days(F.when(k % 2 == 0, F.lit(2**62)).otherwise(k % 100)).alias("span"), C.rule_seconds(k - 500, 0).alias("seconds"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 4 = 1 THEN 'id' WHEN c_custkey % 4 = 2 THEN 'system' ELSE 'anonymous' END AS actor, CASE WHEN c_custkey < 1024 THEN format('{} B', c_custkey) ELSE printf('%.1f KB', round(c_custkey / 1024.0, 1)) END AS shown FROM customer WHERE c_custkey < 1048576")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 4 = 1 THEN 'id' WHEN c_custkey % 4 = 2 THEN 'system' ELSE 'anonymous' END AS actor, CASE WHEN n < 1024 THEN format('{} B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS shown FROM (SELECT *, c_custkey AS n FROM customer)")
 def f16_audit_names(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     actor = C.audit_name(F.when(k % 4 == 0, F.col("c_name")), F.when(k % 4 == 1, F.lit("id")), F.when(k % 4 == 2, F.lit("system")))
@@ -276,3 +276,56 @@ def f20_lock_and_upload_keys(t: Tables) -> DataFrame:
         "event_id", K.push_lock(F.lit("a/b"), F.col("event_type"), d).alias("push"), K.delete_lock(F.lit("a/b"), F.col("event_type"), d, F.when(F.col("event_id") % 2 == 0, F.col("event_id"))).alias("delete"),
         up.alias("u"), C.hasher_state(state).cast("string").alias("state"), F.when(k, K.shard_namespace(F.lit("a%2Fb%25c.json"))).alias("shard"),
     ).select("event_id", "push", "delete", "u.ns", "u.session", "state", "shard")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 60 THEN concat(n, 's ago') WHEN n < 3600 THEN concat(n // 60, 'm ago') WHEN n < 86400 THEN concat(n // 3600, 'h ago') ELSE concat(n // 86400, 'd ago') END AS ago,
+CASE WHEN n < 1 THEN '0 seconds' WHEN n < 60 THEN concat(n, ' second', CASE WHEN n > 1 THEN 's' ELSE '' END) WHEN n < 3600 THEN concat(n // 60, ' minute', CASE WHEN n // 60 > 1 THEN 's' ELSE '' END) WHEN n < 86400 THEN concat(n // 3600, ' hour', CASE WHEN n // 3600 > 1 THEN 's' ELSE '' END)
+ELSE concat(n // 86400, ' day', CASE WHEN n // 86400 > 1 THEN 's' ELSE '' END) END AS kept_for FROM (SELECT o_orderkey, o_orderkey % 70 * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 61 WHEN 2 THEN 3599 ELSE 40000 END AS n FROM orders)""")
+def f22_durations(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = k % 70 * F.element_at(F.array(F.lit(1), F.lit(61), F.lit(3599), F.lit(40000)), (k % 4 + 1).cast("int"))
+    return t.orders.select("o_orderkey", C.time_ago(n).alias("ago"), C.window_text(n).alias("kept_for"))
+
+
+_KEY = b"shared key"
+_INNER, _OUTER = (bytes(b ^ pad for b in _KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query(f"SELECT doc_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(text)))) AS signature FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
+def f14_signatures(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", C.hmac_sha256(_KEY.decode())(F.col("text")).alias("signature"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN concat('d', event_id) END AS target, CASE WHEN event_id % 5 > 0 THEN user_id % 3 END AS referrers, CASE WHEN event_id % 5 > 0 THEN event_id * 10 END AS size,
+CASE WHEN event_id % 5 > 0 THEN concat('client', user_id) END AS client, CASE WHEN event_id % 5 > 0 THEN event_id END AS staged FROM events""")
+def s13_record_decoders(t: Tables) -> DataFrame:
+    """Bodies of links, tags, pulls and upload sessions; every fifth is no JSON."""
+    n = F.col("event_id").cast("string")
+    broken = lambda body: F.when(F.col("event_id") % 5 > 0, body).otherwise("{not json")
+    refs = F.array_repeat(F.lit("r"), (F.col("user_id") % 3).cast("int"))
+    link = J.link_body(broken(F.to_json(F.struct(F.concat(F.lit("d"), n).alias("target"), refs.alias("referenced_by"), F.lit("?").alias("unknown")))))
+    tag = J.tag_body(broken(F.to_json(F.struct((F.col("event_id") * 10).alias("size"), F.lit("type").alias("media_type")))))
+    pull = J.access_body(broken(F.to_json(F.struct(F.concat(F.lit("client"), F.col("user_id").cast("string")).alias("client")))))
+    session = J.session_body(broken(F.to_json(F.struct(F.col("event_id").alias("offset")))))
+    return t.events.select("event_id", link["target"].alias("target"), F.when(link["target"].isNotNull(), F.size(link["referenced_by"]).cast("bigint")).alias("referrers"), tag["size"].alias("size"), pull["client"].alias("client"), session["offset"].alias("staged"))
+
+
+@query("""SELECT key, body, how FROM (SELECT c_custkey AS key, c_name AS body FROM customer), (VALUES ('copy'), ('move')) h(how) WHERE NOT (key % 3 = 0 AND how = 'move')
+UNION ALL SELECT c_custkey + 10000000, c_name, how FROM customer, (VALUES ('copy'), ('move')) h(how) WHERE c_custkey % 3 = 0""")
+def k4_copy_and_move(t: Tables) -> DataFrame:
+    """Every third key to a new place; the last pair's source is not there."""
+    objects = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("body"))
+    pairs = objects.where("key % 3 = 0").select("key", (F.col("key") + 10_000_000).alias("target")).union(t.spark.sql("SELECT -1L, -2L"))
+    return N.copy(objects, pairs).withColumn("how", F.lit("copy")).unionByName(N.move(objects, pairs).withColumn("how", F.lit("move")))
+
+
+@query("""SELECT o_orderkey AS session, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' WHEN coalesce(size, 0) <> coalesce(size, 0) + (o_orderkey % 7 = 0)::INT THEN 'digest_invalid' ELSE 'completed' END AS outcome, body FROM orders
+LEFT JOIN (SELECT l_orderkey, string_agg(l_returnflag || l_shipdate::DATE::VARCHAR, '' ORDER BY l_linenumber, l_returnflag || l_shipdate::DATE::VARCHAR) AS body, sum(11) AS size FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def k5_upload_completion(t: Tables) -> DataFrame:
+    """Lines as parts of an order's upload; every fifth session is gone, every seventh hashed a byte more."""
+    part = F.concat("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd")).cast("binary")
+    uploads = N.assembled(t.lineitem.select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("at"), part.alias("body")))
+    asked = t.orders.select(F.col("o_orderkey").alias("session")).join(uploads, "session", "left")
+    hashed = F.coalesce("size", F.lit(0)) + (F.col("session") % 7 == 0).cast("int")
+    requests = asked.select("session", hashed.alias("hashed_size"), F.decode("body", "UTF-8").alias("body"))
+    return N.completed(requests, requests.where("session % 5 > 0"), uploads).select("session", "outcome", "body")

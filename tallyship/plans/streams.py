@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyship.plans.registry import query
-from tallyship.sources.adapters import Tables, with_sql
+from tallyship.sources.adapters import NOW_MS, Tables, event_endpoints, with_sql
 from tallyship.sources.shared import ensure_checkpoints
-from tallyship.streaming.events import live_tag_states, recorded_pulls
+from tallyship.streaming.events import deliver, live_tag_states, queue_depths, recorded_pulls
 from tallyship.streaming.queue import enqueued
 
 
@@ -42,6 +42,39 @@ def t3_stream_enqueue(t: Tables) -> DataFrame:
     return run_to_end(t, enqueued(jobs.select("id", "queue", "lock_key", "seq", F.lit(False).alias("done"))))
 
 
+@query(with_sql("jobs", "SELECT id, queue, first_value(id) OVER w AS job, CASE WHEN first_value(id) OVER w = id THEN 'miss' ELSE 'hit' END AS outcome FROM jobs WINDOW w AS (PARTITION BY queue ORDER BY seq, id)"))
+def t3_stream_hot_lock(t: Tables) -> DataFrame:
+    """All jobs of a queue want the same lock, in one trigger."""
+    jobs = Streams(t.spark, t.folder).jobs()
+    return run_to_end(t, enqueued(jobs.select("id", "queue", F.lit("one").alias("lock_key"), "seq", F.lit(False).alias("done")))).drop("lock_key")
+
+
+@query(with_sql("jobs", f"SELECT queue, state, least(count(*), 10000) AS jobs FROM jobs WHERE state <> 'pending' OR not_before_ms <= {NOW_MS} GROUP BY queue, state"))
+def t14_stream_queue_depth(t: Tables) -> DataFrame:
+    """The counts that a trigger of the depth stream reports."""
+    folder = _folder(t)
+    report = lambda counts: counts.write.mode("overwrite").parquet(f"{folder}/depths")
+    queue_depths(Streams(t.spark, t.folder).region, t.jobs, lambda: NOW_MS, report, f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/depths")
+
+
+_DELIVERIES = """deliveries AS (SELECT event_id, endpoint, policy, CASE WHEN endpoint = 'audit' THEN event_id % 4 WHEN endpoint = 'alerts' THEN 9 ELSE 0 END AS fails FROM (SELECT event_id, 'audit' AS endpoint, 'optional' AS policy FROM tag_events WHERE tag IN ('view', 'click')
+UNION ALL SELECT event_id, 'builds', 'async' FROM tag_events WHERE tag = 'purchase' AND regexp_matches(ns, '^org[12]/') UNION ALL SELECT event_id, 'alerts', 'optional' FROM tag_events WHERE tag = 'error' AND contains(ns, 'u1')))"""
+
+
+@query(with_sql("tag_events", f", {_DELIVERIES} SELECT event_id, endpoint, policy, 'gave up after 3' AS error FROM deliveries WHERE fails >= 3").replace(")\n,", "),"))
+def k8_stream_deliveries(t: Tables) -> DataFrame:
+    """Deliveries that fail for good after three attempts; a receiver fails as often as the event's number says."""
+    folder = _folder(t)
+    events = Streams(t.spark, t.folder).tag_events().select("event_id", F.col("tag").alias("kind"), F.col("ns").alias("repository"))
+    fails = F.when(F.col("endpoint") == "audit", F.col("event_id") % 4).when(F.col("endpoint") == "alerts", 9).otherwise(0)
+    send = lambda rows, attempt: rows.withColumn("error", F.when(fails > attempt, f"gave up after {attempt + 1}"))
+    endpoints = event_endpoints(t).withColumn("policy", F.when(F.col("policy") == "async", "async").otherwise("optional"))
+    deliver(events, endpoints, send, f"{folder}/state", f"{folder}/failures").trigger(availableNow=True).start().awaitTermination()
+    failed = t.spark.read.parquet(f"{folder}/failures")
+    return failed.select("event_id", "endpoint", "policy", "error")
+
+
 @query(with_sql("pulls", "SELECT DISTINCT ns, tag, client, ms FROM pulls"))
 def t13_stream_pulls(t: Tables) -> DataFrame:
     pulls = Streams(t.spark, t.folder).pulls()

@@ -128,10 +128,10 @@ def u3_union_of_referrers(t: Tables) -> DataFrame:
     return t.lineitem.where("l_linestatus = 'F'").select(F.col("l_partkey").alias("referrer")).union(t.part.where("p_size > 40").select("p_partkey")).distinct()
 
 
-@query(with_sql("tag_events", "SELECT ns FROM tag_events WHERE event_id % 2 = 0 UNION SELECT 'upload/' || user_id FROM tag_events WHERE event_id % 90 = 0"))
+@query(with_sql("tag_events", "SELECT ns FROM tag_events WHERE event_id % 2 = 0 UNION SELECT 'upload/' || user_id FROM tag_events WHERE event_id % 2 = 1"))
 def u5_namespaces_of_stores(t: Tables) -> DataFrame:
     e = t.tag_events()
-    return e.where("event_id % 2 = 0").select("ns").union(e.where("event_id % 90 = 0").select(F.concat(F.lit("upload/"), F.col("user_id").cast("string")))).distinct()
+    return e.where("event_id % 2 = 0").select("ns").union(e.where("event_id % 2 = 1").select(F.concat(F.lit("upload/"), F.col("user_id").cast("string")))).distinct()
 
 
 @query(with_sql("tag_events winners live", "SELECT ns FROM live UNION SELECT ns FROM tag_events WHERE is_del AND value > 90 UNION SELECT ns FROM tag_events WHERE starts_with(ns, 'org0/')"))
@@ -148,11 +148,12 @@ def u8_repeated_options(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array_join(F.array_distinct(given), ",").alias("queues"))
 
 
-@query(with_sql("jobs", """, waiting AS (SELECT queue, lock_key, min(id) AS w FROM jobs WHERE state = 'pending' AND seq % 2 = 0 GROUP BY ALL), a AS (SELECT *, first_value(id) OVER (PARTITION BY queue, lock_key ORDER BY seq, id) AS f FROM jobs WHERE seq % 3 = 1)
+@query(with_sql("jobs", """, waiting AS (SELECT queue, lock_key, min(id) AS w FROM jobs WHERE state = 'pending' AND seq % 2 = 0 GROUP BY ALL), a AS (SELECT *, first_value(id) OVER (PARTITION BY queue, lock_key ORDER BY seq, id) AS f FROM jobs WHERE NOT (state = 'pending' AND seq % 2 = 0))
 SELECT id, coalesce(w, f) AS job, CASE WHEN coalesce(w, f) = id THEN 'miss' ELSE 'hit' END AS outcome FROM a LEFT JOIN waiting USING (queue, lock_key)""").replace(")\n,", "),"))
 def t3_enqueue_dedup(t: Tables) -> DataFrame:
     j = t.jobs()
-    return Q.enqueue(j.where("seq % 3 = 1"), j.where("state = 'pending' AND seq % 2 = 0")).select("id", "job", "outcome")
+    waits = "state = 'pending' AND seq % 2 = 0"
+    return Q.enqueue(j.where(f"NOT ({waits})"), j.where(waits)).select("id", "job", "outcome")
 
 
 @query(with_sql("jobs", "SELECT queue, lock_key, id FROM jobs WHERE state = 'pending' AND not_before_ms <= 900000000000 AND NOT poison AND lock_key NOT IN ('lock1', 'lock4') QUALIFY row_number() OVER (PARTITION BY queue, lock_key ORDER BY not_before_ms, id) = 1"))
@@ -187,11 +188,11 @@ def t10_circuit_breaker(t: Tables) -> DataFrame:
     return Q.breaker_states(calls, "ns", 2, 3_600_000).select("event_id", "state")
 
 
-@query(with_sql("tag_events winners live", "SELECT w.event_id, l.digest FROM tag_events w LEFT JOIN live l USING (ns, tag) WHERE w.event_id % 10 = 3"))
+@query(with_sql("tag_events winners live", "SELECT w.event_id, l.digest FROM tag_events w LEFT JOIN live l USING (ns, tag)"))
 def t11_resolve_at_run_time(t: Tables) -> DataFrame:
     e = t.tag_events()
     now = R.live_tags(e).select("ns", "tag", "digest")
-    return e.where("event_id % 10 = 3").select("event_id", "ns", "tag").join(now, ["ns", "tag"], "left").select("event_id", "digest")
+    return e.select("event_id", "ns", "tag").join(now, ["ns", "tag"], "left").select("event_id", "digest")
 
 
 @query(with_sql("pulls", "SELECT DISTINCT ns, tag, ms - ms % 86400000 AS day, client FROM pulls"))
@@ -219,3 +220,18 @@ def t9_decision_cache(t: Tables) -> DataFrame:
     status = F.when(F.col("tag") == "view", 200).when(F.col("tag") == "click", 401).when(F.col("tag") == "error", 403).otherwise(500)
     calls = t.tag_events().select("event_id", "ms", status.alias("status"), (F.col("user_id") % 50).alias("authorization"), F.lit(None).cast("string").alias("cookie"))
     return Q.cached_decisions(calls, ["cookie", "authorization"], 7_200_000).select("event_id", "served")
+
+
+@query("SELECT 'l' || conv_id % 10 || '/' || conv_id AS listing, turn AS position, i.place, CASE i.place WHEN 0 THEN role ELSE 'same' END AS item FROM conversations, (VALUES (0), (2), (3)) i(place)")
+def s22_remote_listing(t: Tables) -> DataFrame:
+    """Every conversation is a listing whose last page links back to its first; one of the four items has no valid name."""
+    from tallyship.functions.grammar import is_tag
+    from tallyship.sources.shared import ensure_checkpoints
+
+    ensure_checkpoints(t.spark)
+    listing = F.concat(F.lit("l"), (F.col("conv_id") % 10).cast("string"), F.lit("/"), F.col("conv_id").cast("string"))
+    last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    turn = F.col("turn")
+    items = F.array(F.col("role"), F.lit("no name!"), F.lit("same"), F.lit("same"))
+    pages = t.conversations.join(last, "conv_id").select(listing.alias("listing"), turn.alias("location"), F.when(turn < F.col("last"), turn + 1).otherwise(F.lit(0)).alias("next"), (turn == 0).alias("first"), items.alias("items"))
+    return L.remote_items(pages, is_tag(F.col("item")))

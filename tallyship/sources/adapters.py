@@ -92,6 +92,12 @@ class Tables:
         return r.select(F.concat(F.lit("org"), F.col("r_regionkey").cast("string")).alias("name"), (F.col("r_regionkey") == 2).alias("pull_through"), (F.col("r_regionkey") % 2 == 0).alias("immutable_tags"))
 
 
+def event_endpoints(t: Tables) -> DataFrame:
+    """Endpoints over types of events."""
+    rows = [("audit", "required", ["view", "click", "view"], []), ("builds", "async", ["purchase"], ["^org[12]/"]), ("alerts", "optional", ["error"], ["u1", "zzz"])]
+    return t.spark.createDataFrame(rows, "endpoint string, policy string, kinds array<string>, filters array<string>")
+
+
 #: The same mappings for DuckDB, as the bodies of common table expressions.
 SQL = {
     "tag_events": """SELECT concat('org', user_id % 5, '/u', user_id) AS ns, event_type AS tag, epoch_us(ts) // 1000 AS ms, event_id % 5 = 0 AS is_del,

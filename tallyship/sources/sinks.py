@@ -29,6 +29,37 @@ def delete_prefix(current: DataFrame, prefix: str, key: str = "key") -> DataFram
     return current.where(~F.startswith(F.col(key), F.lit(prefix.rstrip("/") + "/")))
 
 
+def copy(current: DataFrame, pairs: DataFrame, key: str = "key") -> DataFrame:
+    """The objects after copies (key, target): a target gets its source's content, whatever it had; a source that is not there copies nothing."""
+    made = current.join(pairs, key).withColumn(key, F.col("target")).select(*current.columns)
+    return put(current, made, key)
+
+
+def move(current: DataFrame, pairs: DataFrame, key: str = "key") -> DataFrame:
+    """As ``copy``, and the sources go; one that is moved onto itself stays."""
+    away = pairs.where(F.col(key) != F.col("target"))
+    made = current.join(pairs, key).withColumn(key, F.col("target")).select(*current.columns)
+    return put(delete(current, away, key), made, key)
+
+
+def assembled(parts: DataFrame, session: str = "session") -> DataFrame:
+    """Uploads from their parts (session, at, body as bytes): the body, the parts joined in order, and its size."""
+    joined = parts.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("_parts"))
+    body = F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["body"])), ""))
+    return joined.select(session, body.alias("body")).withColumn("size", F.octet_length("body").cast("bigint"))
+
+
+def completed(requests: DataFrame, sessions: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Requests to complete uploads (session, digest, hashed_size) with their outcome: unknown, digest_invalid or completed.
+
+    A session that is not there (any more) is unknown. What was staged must be as long
+    as what was hashed, else it is not promoted, and its parts go.
+    """
+    known = requests.join(sessions.select("session", F.lit(True).alias("_open")), "session", "left").join(uploads.select("session", "size"), "session", "left")
+    outcome = F.when(F.col("_open").isNull(), "unknown").when(F.coalesce("size", F.lit(0)) != F.col("hashed_size"), "digest_invalid").otherwise("completed")
+    return known.withColumn("outcome", outcome).drop("_open")
+
+
 def append_error(committed: Column, at: Column, size: Column, declared: Column) -> Column:
     """Why an append to an upload is refused: gap, rewind or size; null if it is not."""
     return F.when(at > committed, "gap").when(at < committed, "rewind").when(declared.isNotNull() & (declared != size), "size")

@@ -34,8 +34,9 @@ def deliver(events: DataFrame, endpoints: DataFrame, send: Callable[[DataFrame,
 
     ``send`` posts a batch's rows (from the executors) and returns them with ``error``,
     null where it went well. Failed rows are sent again, ``attempts`` times in all. What
-    fails for good is appended to the table ``failures``; if an endpoint of it is
-    required, the batch fails once all others have been served, and will be run again.
+    fails for good goes to the table ``failures``, in the batch's own folder, which a
+    batch that is run again writes anew; if an endpoint of it is required, the batch
+    fails once all others have been served, and will be run again.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -45,7 +46,7 @@ def deliver(events: DataFrame, endpoints: DataFrame, send: Callable[[DataFrame,
             left = done.where("error IS NOT NULL").drop("error") if attempt + 1 < attempts else done.where("error IS NOT NULL")
             if left.isEmpty():
                 return
-        left.withColumn("batch", F.lit(number)).write.mode("append").parquet(failures)
+        left.write.mode("overwrite").parquet(f"{failures}/batch={number}")
         bad = left.where(F.col("policy") == REQUIRED).limit(1).collect()
         if bad:
             raise RuntimeError(f"delivery to required endpoint {bad[0].endpoint} failed: {bad[0].error}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,17 +14,25 @@ STATE = "job string"
 
 
 def _fold(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Arrivals in order of seq: the first of an idle lock is a miss and takes it, a done one frees it, others are hits."""
+    """Arrivals in order of seq: the first of an idle lock is a miss and takes it, a done one frees it, others are hits.
+
+    A trigger's rows of a lock come in several frames if they are many, so they are
+    put in order together. Between two done rows all arrivals join the same job.
+    """
     job = state.get[0] if state.exists else None
-    for rows in batches:
-        out = []
-        for r in rows.sort_values(["seq", "id"]).itertuples():
-            if r.done:
-                job = None if r.id == job else job
-                continue
-            job = job or r.id
-            out.append((r.id, key[0], key[1], job, "miss" if job == r.id else "hit"))
-        yield pd.DataFrame(out, columns=["id", "queue", "lock_key", "job", "outcome"])
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["seq", "id"], ignore_index=True)
+    ids, done = rows["id"].to_numpy(), rows["done"].to_numpy(bool)
+    jobs = np.full(len(rows), None, object)
+    begin = 0
+    for stop in [*np.flatnonzero(done).tolist(), len(rows)]:
+        if begin < stop:
+            job = job or ids[begin]
+            jobs[begin:stop] = job
+        if stop < len(rows) and ids[stop] == job:
+            job = None
+        begin = stop + 1
+    out = pd.DataFrame({"id": ids, "queue": key[0], "lock_key": key[1], "job": jobs, "outcome": np.where(jobs == ids, "miss", "hit")})
+    yield out[~done]
     if job is None:
         state.remove()
     else:
@@ -34,6 +43,7 @@ def enqueued(arrivals: DataFrame) -> DataFrame:
     """A stream of (id, queue, lock_key, seq, done) with each arrival's job and outcome.
 
     ``done`` rows say that a job has ended, which frees its lock. The state holds one
-    job id for each lock that waits, and goes when the job does.
+    job id for each lock that waits, and goes when the job does. A trigger's arrivals
+    of one lock are in one task, so a trigger's size bounds its memory.
     """
     return arrivals.groupBy("queue", "lock_key").applyInPandasWithState(_fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -33,6 +33,13 @@ def _one(spark, rules, tag="v1", pushed=NOW - 10, pulled=0, push_rank=1, pull_ra
         (["image.tag in ['a', 'v1']"], ("matched", 1, True)),
         (["!(image.tag == 'v1') || image.pushed_at == 3"], ("no_match", None, False)),
         (["image.pushed_at > 5 ? image.tag == 'v1' : false"], ("matched", 1, True)),
+        (["(image.pushed_at > 5 ? image.tag : 'none') == 'v1'"], ("matched", 1, True)),
+        (["image.tag in [true ? 'v1' : 'a', 'b']"], ("matched", 1, True)),
+        (["image.tag.startsWith(image.pushed_at > 5 ? 'v' : 'x')"], ("matched", 1, True)),
+        (["top_pushed(image.tag == 'v1' ? (false ? 7 : 1) : 0)"], ("matched", 1, True)),
+        (["image.tag == 'a ? b : c' ? true : image.tag == 'x' ? false : image.tag.matches('^v(?:1)$')"], ("matched", 1, True)),
+        (["7 % 4 == 3 && -7 % 4 == -3"], ("matched", 1, True)),
+        (["image.pushed_at % 0 == 1"], ("indeterminate", 1, True)),
         (["image.pushed_at / 0 == 1"], ("indeterminate", 1, True)),
         (["image.pushed_at < 'x'", "true"], ("indeterminate", 1, True)),
         (["image.tag == 3", "image.tag.startsWith('v')"], ("matched", 2, True)),
@@ -49,7 +56,7 @@ def test_untagged_is_null_and_never_ranked(spark):
     assert _one(spark, ["image.tag != null && image.tag.matches('.')", "top_pushed(9)"], tag=None, push_rank=None) == ("no_match", None, False)
 
 
-@pytest.mark.parametrize("rule", ["", "  ", "image.tag ==", "image.nothing == 1", "what()", "image.tag = 'x'", "import os", "image.tag.lower('x')", "[x for x in y]", "lambda: 1", "{'a': 1}"])
+@pytest.mark.parametrize("rule", ["", "  ", "image.tag ==", "image.nothing == 1", "what()", "image.tag = 'x'", "import os", "image.tag.lower('x')", "[x for x in y]", "(a ? b", "f(a ? 1)", "true ? 1", "lambda: 1", "{'a': 1}"])
 def test_unreadable_rules_fail_when_compiled(rule):
     with pytest.raises(R.RuleError):
         R.compile_rule(rule, image_scope(NOW))
@@ -91,3 +98,11 @@ def test_signatures(spark):
 
     got = spark.createDataFrame([("body",), (None,)], "b string").select(C.hmac_sha256("key")("b").alias("s")).collect()
     assert [r.s for r in got] == [hmac.new(b"key", b"body", hashlib.sha256).hexdigest(), None]
+
+
+def test_keys_in_maps(spark):
+    df = spark.createDataFrame([(1, {"a": "x", "n": None}), (2, {}), (3, None)], "id long, claims map<string,string>")
+    scope = R.access_scope({}, {"request.key": F.lit("a")}, {"identity.oidc.claims": F.col("claims")}, F.lit(False))
+    rules = ["'a' in identity.oidc.claims", "!('n' in identity.oidc.claims)", "request.key in identity.oidc.claims && identity.oidc.claims['a'] == 'x'"]
+    got = df.select("id", *(R.evaluate([r], scope)["outcome"].alias(f"r{k}") for k, r in enumerate(rules))).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [("matched", "no_match", "matched"), ("no_match", "matched", "no_match"), ("no_match", "matched", "no_match")]

@@ -1,10 +1,12 @@
 """Streams over several batches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyship.sources.shared import ensure_checkpoints
-from tallyship.streaming.events import deliver, recorded_pulls
+from tallyship.streaming.events import deliver, queue_depths, recorded_pulls
 from tallyship.streaming.queue import enqueued
 
 
@@ -27,6 +29,37 @@ def test_enqueue_keeps_locks_between_batches(spark, tmp_path):
     assert sorted((r[0], r[3], r[4]) for r in got) == [("a", "a", "miss"), ("b", "a", "hit"), ("c", "a", "hit"), ("d", "d", "miss"), ("e", "e", "miss")]
 
 
+def test_a_hot_lock_is_folded_in_order(spark, tmp_path):
+    """More rows of one lock in a trigger than an Arrow batch has, out of order, some of them ends of jobs."""
+    schema = "id string, queue string, lock_key string, seq int, done boolean"
+    rng, rows, want, job = random.Random(6), [], {}, None
+    for seq in range(25_000):
+        if job and rng.random() < 0.01:
+            rows.append((job, "q", "l", seq, True))
+            job = None
+            continue
+        if rng.random() < 0.01:
+            rows.append(("never there", "q", "l", seq, True))
+            continue
+        i = f"j{seq}"
+        job = job or i
+        want[i] = (job, "miss" if job == i else "hit")
+        rows.append((i, "q", "l", seq, False))
+    rng.shuffle(rows)
+    got = _feed(spark, tmp_path, schema, [rows], enqueued)
+    assert {r[0]: (r[3], r[4]) for r in got} == want and len(got) == len(want)
+
+
+def test_depths_are_reported_at_every_trigger(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "q", "pending", 5), ("b", "q", "pending", 50), ("c", "q", "failed", 90)], "id string, queue string, state string, not_before_ms long")
+    seen, now = [], iter([10, 60])
+    build = lambda stream: queue_depths(stream, lambda: jobs, lambda: next(now), lambda counts: seen.append(sorted(map(tuple, counts.collect()))), str(tmp_path / "state"))
+    for n in (1, 2):
+        spark.createDataFrame([(n,)], "n int").write.mode("append").parquet(str(tmp_path / "in"))
+        build(spark.readStream.schema("n int").parquet(str(tmp_path / "in"))).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[("q", "failed", 1), ("q", "pending", 1)], [("q", "failed", 1), ("q", "pending", 2)]]
+
+
 def test_pulls_are_recorded_once(spark, tmp_path):
     import datetime
 
@@ -54,3 +87,7 @@ def test_deliveries_retry_and_fail(spark, tmp_path):
         run.awaitTermination()
     assert sent == [(0, [(1, "flaky"), (1, "good"), (2, "bad"), (2, "good")]), (1, [(1, "flaky"), (2, "bad")]), (2, [(2, "bad")])]
     assert [r.endpoint for r in spark.read.parquet(str(tmp_path / "failures")).collect()] == ["bad"]
+    again = deliver(stream, endpoints, send, str(tmp_path / "state"), str(tmp_path / "failures")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="required endpoint bad failed"):
+        again.awaitTermination()  # the batch is run again, and its failures are written anew, not twice
+    assert [r.endpoint for r in spark.read.parquet(str(tmp_path / "failures")).collect()] == ["bad"]
