@@ -187,11 +187,13 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col:
     their texts; a null id comes first (and is stored as null). Texts of any length
     are encoded whole. No rows give no files. Other columns are not read.
 
-    Sorts texts by id over the cluster, so a file is one range of ids. Returns the
+    Sorts texts by id over the cluster, so a file is one range of ids. Documents of one
+    id are dealt by their texts' first characters, so very many of them have several files. Returns the
     manifest: file, part (files' order), n_docs, n_ids, first_id (ids in files before).
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    written = stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writing(tokenizer, end, folder, bits, added), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
+    dealt = rows.withColumn("tie", F.substring("text", 1, 32)).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "text").drop("tie")
+    written = stored(dealt.mapInArrow(_writing(tokenizer, end, folder, bits, added), "file string, part int, n_docs bigint, n_ids bigint"), "plane-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("bigint")))
 

@@ -72,13 +72,14 @@ VISITORS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]
 
 
 def _visit(part: Column) -> Column:
-    """A part as struct(body, tokens, ref); an unknown or null kind is kept as an empty text."""
+    """A part as struct(body, tokens, ref, unknown); one of an unknown or null kind has an empty body, and is counted."""
     body, tokens = F.lit(""), F.lit(0).cast("bigint")
     for kind, (to_text, to_tokens) in VISITORS.items():
         body = F.when(part["kind"] == kind, to_text(part)).otherwise(body)
         tokens = F.when(part["kind"] == kind, to_tokens(part)).otherwise(tokens)
     media = part["kind"].isin([k for k in VISITORS if k != "text"])
-    return F.struct(body.alias("body"), tokens.alias("tokens"), F.when(media, F.coalesce(part["ref"], F.lit(""))).alias("ref"))
+    unknown = ~F.coalesce(part["kind"].isin(list(VISITORS)), F.lit(False))
+    return F.struct(body.alias("body"), tokens.alias("tokens"), F.when(media, F.coalesce(part["ref"], F.lit(""))).alias("ref"), unknown.cast("bigint").alias("unknown"))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content: Column | str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,8 +89,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ``PART``. Returns conv_id; formatted, the text; n_turns; loss, an array of
     struct(char_start, chars, byte_start, bytes) over ``formatted`` in order of
     turns, covering the escaped content of turns in ``loss_roles``; attachments,
-    an array of struct(position, ref, tokens) in order of the placeholders; and
-    expanded_tokens, their sum.
+    an array of struct(position, ref, tokens) in order of the placeholders;
+    expanded_tokens, their sum; and unknown_parts, how many parts are of no known
+    kind, whose content is not in the text.
 
     Turns are ordered by number, nulls first, then by role and content, so that
     repeated or tied rows all stay, in a fixed order. A null role or text counts
@@ -112,8 +114,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.concat(F.lit(TURN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n")).alias("head"),
         F.array_join(F.transform("seen", lambda p: p["body"]), "").alias("body"),
         F.transform(F.filter("seen", lambda p: p["ref"].isNotNull()), lambda p: F.struct(p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("media"),
+        F.aggregate("seen", F.lit(0).cast("bigint"), lambda s, p: s + p["unknown"]).alias("unknown"),
     )
-    chats = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "head", "media"))).alias("rows"))
+    chats = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "head", "media", "unknown"))).alias("rows"))
     piece = lambda r: F.concat(r["head"], r["body"], F.lit(END + "\n"))
     placed = chats.select(
         "conv_id",
@@ -135,6 +138,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.transform(F.filter(spans, lambda s: s["counts"]), lambda s: s.dropFields("counts")).alias("loss"),
         F.transform(media, lambda m, i: F.struct(i.alias("position"), m["ref"].alias("ref"), m["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate(media, F.lit(0).cast("bigint"), lambda s, m: s + m["tokens"]).alias("expanded_tokens"),
+        F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, r: s + r["unknown"]).alias("unknown_parts"),
     )
 
 

@@ -176,7 +176,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
-    """Where every piece of every document goes; see ``cut_pieces`` and ``pack``."""
+    """Where every piece of every document goes; see ``cut_pieces`` and ``pack``.
+
+    A null or empty text is one piece, the end id alone. Repeated rows are each placed;
+    a text of any length is cut whole; no rows give no rows. Only the two columns are
+    read, so other columns may have any names.
+    """
     return pack(cut_pieces(docs, tokenizer, end, capacity, id_col, text_col, added=added), capacity)
 
 

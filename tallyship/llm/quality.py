@@ -8,7 +8,7 @@ Texts are judged one by one, so the work is a map over blocks of texts: no shuff
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +140,19 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_judge, schema)
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
-        yield block.rows.filter(pa.array(_verdict(measure(block))[1]))
+def _keeping(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col):
+            yield block.rows.filter(pa.array(_verdict(measure(block))[1]))
+
+    return keep
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns; the text column must be named ``text``."""
-    if text_col != "text":
-        raise ValueError("name the text column text")
-    return docs.mapInArrow(_keep, docs.schema)
+    """The documents that pass, with all their columns, whatever their names.
+
+    A null or empty text, and one without words, goes. Repeated rows are judged alike,
+    each on its own, and ties do not arise; a text as long as it may be is judged
+    whole; no rows give no rows.
+    """
+    return docs.mapInArrow(_keeping(text_col), docs.schema)

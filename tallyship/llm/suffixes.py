@@ -45,6 +45,9 @@ SPREAD = WIDTH - STRETCH + 1
 #: A minimizer of more texts than this, and than this share of all texts, has its windows dealt one by one.
 CROWD, CROWD_SHARE = 4000, 1e-4
 
+#: Minimizers of crowds at most, which every task gets: their texts are so many that no more can be.
+MOST_CROWDS = 1 << 20
+
 #: Keys over which the places of a crowd's piece are spread.
 SALTS = 60
 
@@ -326,13 +329,14 @@ def removed_windows(docs: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFr
     size = rows.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     total = size.n or 0
     bits = min(16, max(5, (total // 16 // BUCKET_BYTES * 11).bit_length()))
-    crowd = max(CROWD, int(CROWD_SHARE * size.rows))
+    # a text has no more minimizers than bytes over the least distance that two of equal hash may have, one
+    crowd = max(CROWD, int(CROWD_SHARE * size.rows), total // MOST_CROWDS)
 
     met_at, pieces_at, whole_at = (shared_dir(spark, x) for x in ("met", "pieces", "distinct-pieces"))
     gathered = keyed.select("text_id", "digest", "text").mapInArrow(_gathering(bits), "bucket bigint, heads binary, hashes binary")
     met = stored(gathered.groupBy("bucket").applyInArrow(_meeting(bits, crowd), "group bigint, heads binary, hashes binary"), "met", met_at)
     release(spark)
-    # at most a number that depends on texts' lengths over CROWD_SHARE, however many texts there are
+    # more than total / MOST_CROWDS texts have each of them, so there are under MOST_CROWDS, 8 MB
     hot = np.frombuffer(b"".join(bytes(r.hashes) for r in met.where("group = -1 AND octet_length(hashes) > 0").select("hashes").collect()), np.uint64)
     told = met.where("group >= 0").groupBy("group").applyInArrow(lambda table: _telling(table), "text_id bigint, hashes binary")
     firsts = rows.groupBy("digest", "text_id").agg(F.min("ord").alias("first_ord")).withColumnRenamed("digest", "first_digest")

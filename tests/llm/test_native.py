@@ -137,6 +137,7 @@ def test_typed_parts(spark):
     assert [(a.position, a.ref, a.tokens) for a in got[1].attachments] == [(0, "a.png", 3), (1, "b.wav", 38), (2, "", 2048)]
     assert got[1].expanded_tokens == 3 + 38 + 2048 and got[1].formatted.count("<|image|>") == 1
     assert got[2].attachments == [] and got[2].expanded_tokens == 0
+    assert (got[1].unknown_parts, got[2].unknown_parts) == (1, 0)
 
 
 SECRETS = [

@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages."""
 
+import random
 import re
 import zlib
 
@@ -77,3 +78,24 @@ def test_stages_take_empty_and_null_rows(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.stored(stage(spark, docs, DIR), "test")
         assert corpus_pipeline.packing(spark, docs, DIR).count() == 0
+
+
+def test_stages_take_clashing_columns_ties_and_long_texts(spark):
+    """Extra columns named as the stages name theirs come through; of ties one stays, and a long text is whole."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    long, short = (" ".join(word() for _ in range(n)) for n in (60_000, 60))
+    rows = [(1, long), (1, long), (2, long + " "), (3, short), (4, short.replace(" ", "\n", 1)), (5, None), (None, short), (6, short + " tail")]
+    clash = ["_key_id", "_key_digest", "_secret_base", "kept", "label", "salt", "bands", "piece", "Digest"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(clash))) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, before, DIR), "test")
+        assert docs.dtypes == before.dtypes, name
+        if name == "exact dedup":
+            assert sorted(r.doc_id for r in docs.collect()) == [2, 3, 6]
+    got = {r.doc_id: r for r in docs.collect()}
+    assert got.keys() == {2, 3} and got[2].text == long + " " and all(tuple(r)[5:] == tuple(range(len(clash))) for r in got.values())
+    placed = corpus_pipeline.packing(spark, docs, DIR)
+    assert {r.doc_id for r in placed.collect()} == {2, 3}
