@@ -17,11 +17,12 @@ QUEUES = ("cache", "replication")
 LEFTOVERS = (".tx-log", ".tx-bodies", ".tx-locks")
 LOST, PROBE = "lost+found", "_probe_"
 
+# How digests, tags and entries are written in keys; names as in the grammar, without its anchors and groups.
 _HASHED = r"(sha256/[0-9a-f]{64}|sha512/[0-9a-f]{128})"
 _DOTTED = r"(sha256\.[0-9a-f]{64}|sha512\.[0-9a-f]{128})"
 _SHARDED = r"(sha256/([0-9a-f]{2})/\{G}[0-9a-f]{62}|sha512/([0-9a-f]{2})/\{H}[0-9a-f]{126})"
-_TAG = r"[a-zA-Z0-9_][a-zA-Z0-9._-]{0,127}"
-_NS = r"[a-z0-9]+(?:(?:__|[._]|-+)[a-z0-9]+)*(?:/[a-z0-9]+(?:(?:__|[._]|-+)[a-z0-9]+)*)*"
+_TAG = G.TAG.strip("^$")
+_NS = G.NAMESPACE.strip("^$").replace("(", "(?:")
 _EVENT = r"[0-9a-fA-F]{16}\.(?:set|del)\." + _DOTTED
 _ACCESS = r"[0-9a-fA-F]{16}\.[0-9a-fA-F]{8}"
 

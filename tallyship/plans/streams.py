@@ -62,7 +62,7 @@ _DELIVERIES = """deliveries AS (SELECT event_id, endpoint, policy, CASE WHEN end
 UNION ALL SELECT event_id, 'builds', 'async' FROM tag_events WHERE tag = 'purchase' AND regexp_matches(ns, '^org[12]/') UNION ALL SELECT event_id, 'alerts', 'optional' FROM tag_events WHERE tag = 'error' AND contains(ns, 'u1')))"""
 
 
-@query(with_sql("tag_events", f", {_DELIVERIES} SELECT event_id, endpoint, policy, 'gave up after 3' AS error FROM deliveries WHERE fails >= 3").replace(")\n,", "),"))
+@query(with_sql("tag_events", "SELECT event_id, endpoint, policy, 'gave up after 3' AS error FROM deliveries WHERE fails >= 3", _DELIVERIES))
 def k8_stream_deliveries(t: Tables) -> DataFrame:
     """Deliveries that fail for good after three attempts; a receiver fails as often as the event's number says."""
     folder = _folder(t)

@@ -148,8 +148,14 @@ def u8_repeated_options(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array_join(F.array_distinct(given), ",").alias("queues"))
 
 
-@query(with_sql("jobs", """, waiting AS (SELECT queue, lock_key, min(id) AS w FROM jobs WHERE state = 'pending' AND seq % 2 = 0 GROUP BY ALL), a AS (SELECT *, first_value(id) OVER (PARTITION BY queue, lock_key ORDER BY seq, id) AS f FROM jobs WHERE NOT (state = 'pending' AND seq % 2 = 0))
-SELECT id, coalesce(w, f) AS job, CASE WHEN coalesce(w, f) = id THEN 'miss' ELSE 'hit' END AS outcome FROM a LEFT JOIN waiting USING (queue, lock_key)""").replace(")\n,", "),"))
+@query(
+    with_sql(
+        "jobs",
+        "SELECT id, coalesce(w, f) AS job, CASE WHEN coalesce(w, f) = id THEN 'miss' ELSE 'hit' END AS outcome FROM a LEFT JOIN waiting USING (queue, lock_key)",
+        """waiting AS (SELECT queue, lock_key, min(id) AS w FROM jobs WHERE state = 'pending' AND seq % 2 = 0 GROUP BY ALL),
+a AS (SELECT *, first_value(id) OVER (PARTITION BY queue, lock_key ORDER BY seq, id) AS f FROM jobs WHERE NOT (state = 'pending' AND seq % 2 = 0))""",
+    )
+)
 def t3_enqueue_dedup(t: Tables) -> DataFrame:
     j = t.jobs()
     waits = "state = 'pending' AND seq % 2 = 0"

@@ -122,6 +122,6 @@ SQL = {
 }
 
 
-def with_sql(names: str, body: str) -> str:
-    """A query over some of the mapped tables, in the order given."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names.split()) + "\n" + body
+def with_sql(names: str, body: str, more: str = "") -> str:
+    """A query over some of the mapped tables, in the order given, and over ``more`` table expressions."""
+    return "WITH " + ", ".join([*(f"{n} AS ({SQL[n]})" for n in names.split()), *filter(None, [more])]) + "\n" + body
