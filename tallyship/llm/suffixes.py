@@ -15,8 +15,8 @@ that two different texts share.
 3. The pieces of a minimizer meet in a shard. The shard's suffix array is made by induced
    sorting over all of them with their documents, and permuted common prefixes tell which
    windows are equal, and so the smallest document of each. Every window that is removed
-   is found there; only a string of one document whose minimizer no other string has
-   stays out, as no second document has its windows.
+   is found there; what stays out is strings of one document that agree with no other
+   string of the shard in the 35 bytes beside a minimizer, as no other has their windows.
 4. Windows of later documents are removed from their texts, overlapping ones together.
 
 Equal texts are found by digest; only the first goes through these steps, and the others
@@ -42,6 +42,9 @@ from tallyship.llm.shared import discard, release, sha256_hex, shared_dir, store
 WIDTH, STRETCH = 50, 20
 SPREAD = WIDTH - STRETCH + 1
 
+#: A minimizer and the bytes on one side of it that any window has.
+FLANK = STRETCH + (WIDTH - STRETCH) // 2
+
 #: A minimizer of more texts than this, and than this share of all texts, has its windows dealt one by one.
 CROWD, CROWD_SHARE = 4000, 1e-4
 
@@ -278,13 +281,37 @@ _EMITTED = "id_a bigint, id_b bigint, salt bigint, ord bigint, text_id bigint, p
 _RUNS = "id_a bigint, id_b bigint, salts bigint, from bigint, to bigint, first_ord bigint"
 
 
+def _meet_others(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which pieces agree with another one in FLANK bytes that begin or end with their minimizer.
+
+    The minimizer of a window has 30 other bytes of the window beside it, so 15 at least
+    on one side: two pieces with a window in common agree in such bytes. A piece's
+    minimizer is the smallest of its hashes; every place that has it counts.
+    """
+    n = len(data) - STRETCH + 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    hashed = mixed(stretch_hashes(data, slice(0, n), slice(STRETCH, n + STRETCH)))
+    hashed[np.arange(n) + STRETCH > offsets[1:][owner[:n]]] = np.iinfo(np.uint64).max  # would reach into the next piece
+    place = np.flatnonzero(hashed == np.minimum.reduceat(hashed, offsets[:-1])[owner[:n]])
+    whose = owner[place]
+    ends, begins = place + STRETCH - FLANK >= offsets[whose], place + FLANK <= offsets[whose + 1]
+    flanks = np.concatenate([
+        mixed(stretch_hashes(data, place[ends] + STRETCH - FLANK, place[ends] + STRETCH)),
+        ~mixed(stretch_hashes(data, place[begins], place[begins] + FLANK)),
+    ])
+    _, which, count = np.unique(flanks, return_inverse=True, return_counts=True)
+    meets = np.zeros(len(offsets) - 1, bool)
+    meets[np.concatenate([whose[ends], whose[begins]])[count[which] > 1]] = True
+    return meets
+
+
 def _sorting(table: pa.Table) -> pa.Table:
     """In a shard: runs of windows of a piece that stand in an earlier document than the piece's last."""
-    low, high, key, salts = (table.column(c).to_numpy() for c in ("low", "high", "key", "salts"))
-    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
-    sorted_in = np.flatnonzero((times[number] > 1) | (low < high))
+    low, high, salts = (table.column(c).to_numpy() for c in ("low", "high", "salts"))
+    piece = table.column("piece").combine_chunks()
+    sorted_in = np.flatnonzero((low < high) | _meet_others(*flat(piece)))
     low, high, salts = low[sorted_in], high[sorted_in], salts[sorted_in]
-    data, offsets = flat(table.column("piece").combine_chunks().take(pa.array(sorted_in)))
+    data, offsets = flat(piece.take(pa.array(sorted_in)))
     counts = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
     owner = np.repeat(np.arange(len(sorted_in)), counts)
     offset, group = repeated_windows(data, offsets, WIDTH)

@@ -117,6 +117,32 @@ def test_pieces_of_a_shard_are_all_sorted(monkeypatch):
     assert sorted((r["from"], r["to"], r["first_ord"], r["salts"]) for r in runs) == [(0, 5, 7, 3), (0, 31, 1, 1)]
 
 
+def test_pieces_left_out_share_no_window():
+    """Pieces around one minimizer, of which some share a window: all of these meet others, and most of the rest do not."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: bytes(rng.integers(97, 101, n).astype(np.uint8))
+    texts = [draw(400) for _ in range(30)]
+    for k in range(0, 30, 3):  # the next two get a part of this one, of 20 to 80 bytes
+        for j in (1, 2):
+            n, at = int(rng.integers(20, 81)), int(rng.integers(0, 300))
+            texts[k + j] = texts[k + j][:150] + texts[k][at : at + n] + texts[k + j][150 + n :]
+    pieces = set()
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        at, hashed, least = suffixes.minimizers(data, np.array([0, len(data)]))
+        for p in at.tolist():
+            has = [i for i in range(max(0, p - 30), min(p, len(least) - 1) + 1) if least[i] == hashed[p]]
+            pieces.add((int(hashed[p]), t[has[0] : has[-1] + 50]))
+    pieces = sorted(pieces)
+    windows = {}
+    for k, (_, p) in enumerate(pieces):
+        for i in range(len(p) - 49):
+            windows.setdefault(p[i : i + 50], set()).add(k)
+    sharing = {k for w in windows.values() if len(w) > 1 for k in w}
+    meets = suffixes._meet_others(np.frombuffer(b"".join(p for _, p in pieces), np.uint8), prefix(np.array([len(p) for _, p in pieces])))
+    assert sharing and sharing <= set(np.flatnonzero(meets).tolist()) and meets.sum() < len(pieces) / 2
+
+
 def test_texts_longer_than_a_block(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
