@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyship.llm.blocks import blocks
 from tallyship.llm.shared import shared_dir, stored
-from tallyship.llm.tokens import text_encoder, with_end
+from tallyship.llm.tokens import ENCODED_BYTES, text_encoder, with_end
 
 #: Fixed values of the format.
 MAGIC, CHUNK_IDS = b"TSPLANE1", 1 << 16
@@ -166,7 +166,7 @@ def _writing(tokenizer: str, end: int, folder: str, bits: bool, added: bool) ->
         draft = f"{name}.{uuid.uuid4().hex}.draft"  # a task that is run again writes its own, and the whole file takes the name
         with fs.open_output_stream(draft) as file:
             writer = PlaneWriter(file, bits)
-            for block in blocks(batches):
+            for block in blocks(batches, limit=ENCODED_BYTES):
                 ids, offsets = with_end(*encoder.encode(block.data, block.offsets), end)
                 writer.add(ids, block.rows.column("doc_id"), np.diff(offsets))
             n_docs, n_ids = writer.close()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyship.llm.blocks import blocks
 from tallyship.llm.shared import stored
-from tallyship.llm.tokens import text_encoder, with_end
+from tallyship.llm.tokens import ENCODED_BYTES, text_encoder, with_end
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -34,7 +34,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def _cutting(tokenizer: str, end: int, capacity: int, with_ids: bool, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer, added)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=ENCODED_BYTES):
             ids, offsets = with_end(*encoder.encode(block.data, block.offsets), end)
             total = np.diff(offsets)
             pieces = -(-total // capacity)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyship.llm.blocks import blocks
 from tallyship.llm.shared import shared_dir, stored
-from tallyship.llm.tokens import text_encoder, with_end
+from tallyship.llm.tokens import ENCODED_BYTES, text_encoder, with_end
 
 BLOCK_BYTES = 4 << 20
 
@@ -86,7 +86,7 @@ def _writing(tokenizer: str, separator: int, width: int, folder: str) -> Callabl
         draft, done = f"{folder}/.draft-{uuid.uuid4().hex}", 0
         _, draft = _open(draft)
         with fs.open_output_stream(draft) as file:
-            for block in blocks(batches):
+            for block in blocks(batches, limit=ENCODED_BYTES):
                 ids, offsets = with_end(*encoder.encode(block.data, block.offsets), separator)
                 if len(ids) and int(ids.max()) >= 1 << 8 * width:
                     raise ValueError(f"an id needs more than {width} bytes")

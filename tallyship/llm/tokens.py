@@ -24,7 +24,10 @@ _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _
 _KIND[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
 
 #: Chunks of more bytes are not remembered, and a worker remembers this many of the others at most.
-CHUNK_BYTES, CHUNKS = 48, 200_000
+CHUNK_BYTES, CHUNKS = 48, 600_000
+
+#: Bytes of text that are encoded together: more find more chunks that they share.
+ENCODED_BYTES = 4 << 20
 
 
 def _odd_blanks(data: np.ndarray) -> np.ndarray:
