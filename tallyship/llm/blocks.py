@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,17 @@ import pyarrow.compute as pc
 BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 1 << 15
 
 
+_kept: dict = {}
+
+
+def worker_keeps(kind: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from one task of a kind to the next; it goes when a task of another kind begins, so that memory holds one kind's at most."""
+    if kind not in _kept:
+        _kept.clear()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
 @dataclass
 class Block:
     """Some rows of a batch: the other columns, and the texts as bytes with offsets (one more than rows)."""

@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import blocks, prefix
+from tallyship.llm.blocks import blocks, prefix, worker_keeps
 from tallyship.llm.tokens import ChunkEncoder
 
 #: Bytes of text whose words are replayed together.
@@ -127,6 +126,11 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
             at = at[(step - begin) % 2 == 0]
         gone = following[at]
         after = following[gone]
+        beside = np.flatnonzero(after[:-1] == at[1:])  # pairs next to each other: the left one, merged alone, has a symbol of the right one beside it
+        if len(beside):
+            between = vocabulary.pair_ranks(np.full(len(beside), r), symbol[at[beside + 1]])
+            if ((between >= 0) & (between < r)).any():
+                inverted.append(at[beside[(between >= 0) & (between < r)]])
         symbol[at] = r
         following[at] = after
         alive[gone] = False
@@ -183,10 +187,9 @@ class ReplayEncoder(ChunkEncoder):
         return out, at[edges[1:]] - at[edges[:-1]]
 
 
-@lru_cache(maxsize=2)
 def replay_encoder(path: str, pattern: str) -> ReplayEncoder:
-    """A worker's encoder for a rank file; it stays for the worker's later tasks."""
-    return ReplayEncoder(path, pattern)
+    """A worker's encoder for a rank file; it stays for the worker's next tasks of this kind."""
+    return worker_keeps(("replay encoder", path, pattern), lambda: ReplayEncoder(path, pattern))
 
 
 _Map = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

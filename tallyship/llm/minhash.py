@@ -28,14 +28,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import BLOCK_ROWS, Block, blocks, flat, mixed, stretch_hashes, words
+from tallyship.llm.blocks import BLOCK_ROWS, Block, blocks, flat, mixed, stretch_hashes, words, worker_keeps
 from tallyship.llm.components import components
 from tallyship.llm.shared import matching_rows, stored, text_or_empty
 
@@ -94,6 +93,7 @@ def _hash_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps("sketch", dict)
     counts, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
     for block in blocks(batches):
         shingles = _hash_of(shingle_keys(block.data, block.offsets)[0])
@@ -186,9 +186,8 @@ class Sampler:
         return out
 
 
-@lru_cache(maxsize=1)
 def _sampler() -> Sampler:
-    return Sampler()
+    return worker_keeps("sampler", Sampler)
 
 
 def _signing(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyship.llm.blocks import BLANK, Block, blocks, mixed, numbered, prefix, words
+from tallyship.llm.blocks import BLANK, Block, blocks, mixed, numbered, prefix, words, worker_keeps
 
 #: Largest share of a text's word characters inside duplicated n-grams, by n, and inside repeated lines.
 NGRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
@@ -121,6 +121,7 @@ REPORT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps("quality", dict)
     for block in blocks(batches):
         m = measure(block)
         failed, kept = _verdict(m)
@@ -142,6 +143,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _keeping(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("quality", dict)
         for block in blocks(batches, text_col):
             yield block.rows.filter(pa.array(_verdict(measure(block))[1]))
 

@@ -11,11 +11,10 @@ token, where these are not read as plain text.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
-from tallyship.llm.blocks import prefix, strings
+from tallyship.llm.blocks import prefix, strings, worker_keeps
 
 _BLANK, _MARK, _LETTER = 1, 2, 4
 _KIND = np.zeros(256, np.uint8)
@@ -151,10 +150,9 @@ class TextEncoder(ChunkEncoder):
         return np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum())), lengths
 
 
-@lru_cache(maxsize=2)
 def text_encoder(path: str, added: bool = False) -> TextEncoder:
-    """A worker's encoder for a tokenizer file; it stays for the worker's later tasks."""
-    return TextEncoder(path, added)
+    """A worker's encoder for a tokenizer file; it stays for the worker's next tasks of this kind."""
+    return worker_keeps(("text encoder", path, added), lambda: TextEncoder(path, added))
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

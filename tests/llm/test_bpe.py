@@ -60,6 +60,13 @@ def test_any_order_of_ranks(tmp_path_factory, words, order):
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])][: len(raw)] == [v.merge_one(w) for w in raw]
 
 
+def test_pairs_side_by_side_with_a_lower_rank_between(tmp_path):
+    """aaaa: the first aa makes aaa, which ranks below aa, before the second aa can."""
+    v = _toy(tmp_path, [b"aaa", b"aa"])
+    ids, _ = replay(v, [b"aaaa", b"aaaaaaa", b"aa"])
+    assert ids.tolist() == [*v.merge_one(b"aaaa"), *v.merge_one(b"aaaaaaa"), 257]
+
+
 def test_documents(spark, plain):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TEXTS)] + [(None, "x"), (5, "twice"), (5, "twice")], "doc_id long, text string")
