@@ -14,8 +14,8 @@ import numpy as np
 
 from tallyship.llm.blocks import numbered, prefix
 
-#: Strings of fewer characters are sorted by doubling, as the end of the recursion.
-FEW = 256
+#: Strings of fewer characters are sorted by doubling, as the end of the recursion: a sweep's stretches are short there.
+FEW = 1 << 16
 
 #: Suffixes of a stretch at first; it grows and shrinks with what a sweep meets.
 STRETCH = 1 << 12
