@@ -8,7 +8,7 @@
    however many texts there are. The sketch is summed slice by slice over the cluster.
    The half keeps the texts of a hot group together as candidates: with a bare log(N/df)
    the words in which two copies differ outweigh all that they share, and a pair at 0.8
-   in a third of all texts would agree in a band with a probability of about a tenth.
+   in a third of 250,000 texts would share a bucket once in twenty times (by calculation).
 2. For each of 48 hash functions a text samples one (shingle, quantised weight) so
    that two texts agree with the probability of their weighted Jaccard similarity.
    Bands of four samples put texts into buckets. Equal texts are one node.
