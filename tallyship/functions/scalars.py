@@ -88,10 +88,12 @@ def byte_range(content: Column, r: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """A size for people: B, KB, MB or GB with one decimal."""
-    shown = F.format_string("%d B", n)
+    """A size for people: B, KB, MB or GB with one decimal, ties to the even one as C prints them (Java rounds them up)."""
+    shown = F.when(n.isNotNull(), F.format_string("%d B", n))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        shown = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(shown)
+        x = n / float(1024**power)
+        even = F.floor(x) + F.rint((x - F.floor(x)) * 10) / 10
+        shown = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", even)).otherwise(shown)
     return shown
 
 

@@ -190,3 +190,13 @@ def test_sizes_of_all_units_and_keys(spark, tmp_path):
     spark.createDataFrame([(k, f"c{k}") for k in want], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.c_custkey: r.shown for r in f16_audit_names(Tables(spark, str(tmp_path))).collect()}
     assert got == want
+
+
+def test_sizes_halfway_between_decimals_go_to_the_even_one(spark):
+    from tallyship.functions.scalars import size_text
+
+    sizes = [*range(1024, 12_288, 64), *(k * 2**18 + d for k in range(4, 80) for d in (-1, 0, 1)), *(k * 2**28 for k in range(4, 80)), 2**51 + 2**28, 2**52 + 2**28 + 1]
+    units = lambda n: ("KB", 1024) if n < 2**20 else ("MB", 2**20) if n < 2**30 else ("GB", 2**30)
+    want = {n: f"{n / size:.1f} {unit}" for n in sizes for unit, size in [units(n)]}
+    rows = spark.createDataFrame([(n,) for n in [*want, None]], "n long").withColumn("shown", size_text(F.col("n"))).collect()
+    assert {r.n: r.shown for r in rows} == want | {None: None} and want[1280] == "1.2 KB" and want[1792] == "1.8 KB"
