@@ -16,6 +16,7 @@ BLOBS, REPOS, REFS, NAMESPACES, CATALOG, MARKERS, JOBS = "v2/blobs", "v2/reposit
 QUEUES = ("cache", "replication")
 LEFTOVERS = (".tx-log", ".tx-bodies", ".tx-locks")
 LOST, PROBE = "lost+found", "_probe_"
+ROOTS = (*(f"{r}/" for r in (BLOBS, REPOS, REFS, NAMESPACES, CATALOG, MARKERS, JOBS, LOST)), PROBE)
 
 # How digests, tags and entries are written in keys; names as in the grammar, without its anchors and groups.
 _HASHED = r"(sha256/[0-9a-f]{64}|sha512/[0-9a-f]{128})"
@@ -65,11 +66,20 @@ CATEGORIES: tuple[tuple[str, str], ...] = (
 
 
 def category(key: Column) -> Column:
-    """The category of a store key, ``unknown`` for any that no writer makes. Empty and dot segments are never known."""
-    found = F.lit("unknown")
-    for name, pattern in reversed(CATEGORIES):
-        found = F.when(key.rlike(pattern), name).otherwise(found)
-    return F.when((key == "") | key.rlike(r"(^|/)(\.{0,2})(/|$)"), "unknown").otherwise(found)
+    """The category of a store key, ``unknown`` for any that no writer makes. Empty and dot segments are never known.
+
+    The key is bound to a variable, so that it is made once, however it is made and
+    wherever a filter is pushed, and only the patterns of its root are tried.
+    """
+
+    def of(k: Column) -> Column:
+        found = F.lit("unknown")
+        for name, pattern in reversed(CATEGORIES):
+            roots = [r for r in ROOTS if pattern.startswith("^" + r.replace("+", r"\+"))]
+            found = F.when((F.startswith(k, F.lit(roots[0])) if roots else F.lit(True)) & k.rlike(pattern), name).otherwise(found)
+        return F.when((k == "") | k.rlike(r"(^|/)(\.{0,2})(/|$)"), "unknown").otherwise(found)
+
+    return F.transform(F.array(key), of)[0]
 
 
 def key_namespace(key: Column) -> Column:

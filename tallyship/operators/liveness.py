@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyship.operators.retention import young
 
+#: Kinds of reference that go by the holders of their link.
+LEGACY = ("layer", "config", "manifest")
+
 
 def backed_references(refs: DataFrame, live: DataFrame, revisions: DataFrame, referrers: DataFrame, tracked: DataFrame) -> DataFrame:
     """References whose other side still leads to the blob.
@@ -20,21 +23,23 @@ def backed_references(refs: DataFrame, live: DataFrame, revisions: DataFrame, re
     has to resolve to the blob, a revision to be stored, a referrer to have its record
     under the subject, a back-reference its manifest's revision. The other kinds are
     legacy: their link (ns, kind, target, referenced_by) has to name a manifest that is
-    still a revision, as a link file outlives the manifest's delete.
+    still a revision, as a link file outlives the manifest's delete. What speaks for
+    references is one table, so that they are made, dealt and joined once for all kinds;
+    names and digests lead the join's keys, since sorting by namespaces first is slow.
     """
-    by = lambda *kinds: refs.where(F.col("kind").isin(*kinds))
+    text = lambda c: F.col(c).cast("string")
+    speaks = lambda rows, kind, one, two=None: rows.select("ns", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text(one).alias("_one"), (text(two) if two else F.lit("")).alias("_two"))
     stored = revisions.select("ns", "digest").distinct()
-    tags = by("tag").join(live.select("ns", F.col("tag").alias("name"), "digest"), ["ns", "name", "digest"], "left_semi")
-    own_revision = by("digest").join(stored, ["ns", "digest"], "left_semi")
-    record = by("referrer").join(referrers.select("ns", F.col("subject").alias("other"), F.col("referrer").alias("digest")), ["ns", "other", "digest"], "left_semi")
-    back = by("referenced_by").join(stored.withColumnRenamed("digest", "other"), ["ns", "other"], "left_semi")
     holders = tracked.select("ns", "kind", "target", F.explode("referenced_by").alias("holder")).join(stored.withColumnRenamed("digest", "holder"), ["ns", "holder"], "left_semi")
-    legacy = by("layer", "config", "manifest").join(holders.select("ns", "kind", F.col("target").alias("digest")).distinct(), ["ns", "kind", "digest"], "left_semi")
-    columns = refs.columns
-    out = by("own").select(columns)
-    for part in (tags, own_revision, record, back, legacy):
-        out = out.unionByName(part.select(columns))
-    return out
+    known = (
+        speaks(live, "tag", "tag", "digest").unionByName(speaks(stored, "digest", "digest")).unionByName(speaks(referrers, "referrer", "subject", "referrer"))
+        .unionByName(speaks(stored, "referenced_by", "digest")).unionByName(speaks(holders.where(F.col("kind").isin(*LEGACY)), F.col("kind"), "target"))
+    )
+    kind, columns = F.col("kind"), refs.columns
+    one = F.when(kind == "tag", text("name")).when(kind.isin("referrer", "referenced_by"), text("other")).when(kind.isin("digest", *LEGACY), text("digest"))
+    two = F.when(kind.isin("tag", "referrer"), text("digest")).otherwise("")
+    backed = refs.withColumn("_one", one).withColumn("_two", two).join(known, ["_one", "_two", "ns", "kind"], "left_semi")
+    return refs.where(kind == "own").unionByName(backed.select(columns))
 
 
 def orphan_blobs(blobs: DataFrame, refs: DataFrame, backed: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:
@@ -109,10 +114,11 @@ def tag_targets(live: DataFrame, blobs: DataFrame, revisions: DataFrame, now_ms:
 def missing_links(expected: DataFrame, actual: DataFrame, blobs: DataFrame) -> DataFrame:
     """Links that manifests call for but the store lacks or has wrong, and grants for those whose bytes are there."""
     a = actual.select("ns", "kind", "name", F.col("target").alias("_target"))
-    links = expected.join(a, ["ns", "kind", "name"], "left").where(~F.col("_target").eqNullSafe(F.col("target"))).drop("_target")
-    made = links.withColumn("action", F.lit("recreate_link"))
-    grants = links.join(blobs.select(F.col("digest").alias("target")), "target", "left_semi").withColumn("action", F.lit("grant"))
-    return made.unionByName(grants.select(made.columns))
+    links = expected.join(a, ["name", "ns", "kind"], "left").where(~F.col("_target").eqNullSafe(F.col("target"))).select(expected.columns)
+    there = blobs.select(F.col("digest").alias("target"), F.lit(True).alias("_bytes")).distinct()
+    both = F.array(F.lit("recreate_link"), F.lit("grant"))
+    marked = links.join(there, "target", "left").withColumn("action", F.explode(F.when(F.col("_bytes"), both).otherwise(F.array(F.lit("recreate_link")))))
+    return marked.select(*links.columns, "action")
 
 
 def dead_referrers(records: DataFrame, revisions: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:

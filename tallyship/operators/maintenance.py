@@ -17,6 +17,14 @@ def actions(rows: DataFrame, action: str, reason: str = "") -> DataFrame:
     return rows.select(*(fixed[c].alias(c) if c in fixed else (F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in COLUMNS))
 
 
+def sorted_actions(rows: DataFrame, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """Rows as actions of several kinds (action, reason, condition), a row once for each condition that it meets; rows are made once for all kinds."""
+    met = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))) for action, reason, c in kinds)))
+    have = set(rows.columns) - {"action", "reason"}
+    each = rows.withColumn("_kind", F.explode(met))
+    return each.select(*((F.col(f"_kind.{c}") if c in ("action", "reason") else F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in COLUMNS))
+
+
 def plan(*parts: DataFrame) -> DataFrame:
     """All parts of a plan."""
     return reduce(lambda a, b: a.unionByName(b), parts)

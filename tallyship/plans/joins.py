@@ -62,7 +62,7 @@ def _references(t: Tables) -> tuple[DataFrame, DataFrame]:
     k = F.col("l_orderkey")
     kind = F.when(k % 4 == 0, "referenced_by").when(k % 4 == 1, "layer").when(k % 4 == 2, "tag").otherwise("referrer")
     ns = F.concat(F.lit("org"), (k % 5).cast("string"))
-    refs = t.lineitem.select(ns.alias("ns"), F.col("l_partkey").alias("digest"), kind.alias("kind"), k.alias("other"), F.concat(F.lit("o"), k.cast("string")).alias("name"), k.alias("entry")).distinct()
+    refs = t.order_parts().select(ns.alias("ns"), F.col("l_partkey").alias("digest"), kind.alias("kind"), k.alias("other"), F.concat(F.lit("o"), k.cast("string")).alias("name"), k.alias("entry"))
     rev = _live_orders(t).withColumn("ns", F.concat(F.lit("org"), (F.col("digest") % 5).cast("string")))
     tags = refs.where("kind = 'tag' AND other % 3 = 0").select("ns", F.col("name").alias("tag"), "digest")
     records = refs.where("kind = 'referrer' AND other % 7 = 0").select("ns", F.col("other").alias("subject"), F.col("digest").alias("referrer"))

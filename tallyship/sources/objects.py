@@ -55,7 +55,7 @@ def parsed_keys(objects: DataFrame, key: str = "key") -> DataFrame:
 def quarantine(parsed: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:
     """Keys that no writer makes and that are past grace, with the place they move to; a missing time keeps a key."""
     old = F.coalesce(F.lit(now_ms) - F.col("ms") >= grace_ms, F.lit(False))
-    return parsed.where((F.col("category") == "unknown") & old).withColumn("target", F.concat(F.lit(f"{K.LOST}/"), F.col("key")))
+    return parsed.where(old & (F.col("category") == "unknown")).withColumn("target", F.concat(F.lit(f"{K.LOST}/"), F.col("key")))
 
 
 def blob_digests(objects: DataFrame, key: str = "key") -> DataFrame:

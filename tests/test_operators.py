@@ -200,3 +200,25 @@ def test_sizes_halfway_between_decimals_go_to_the_even_one(spark):
     want = {n: f"{n / size:.1f} {unit}" for n in sizes for unit, size in [units(n)]}
     rows = spark.createDataFrame([(n,) for n in [*want, None]], "n long").withColumn("shown", size_text(F.col("n"))).collect()
     assert {r.n: r.shown for r in rows} == want | {None: None} and want[1280] == "1.2 KB" and want[1792] == "1.8 KB"
+
+
+def test_a_key_is_made_once_however_many_patterns_it_is_held_against(spark):
+    made = F.concat(F.lit("v2/ns/a!tag/b!/"), F.sha2(F.col("id").cast("string").cast("binary"), 256))
+    keys = spark.range(3).select(made.alias("key"), F.lit(0).alias("ms"))
+    found = objects.quarantine(objects.parsed_keys(keys), 10, 5).select("key")
+    assert found.count() == 3 and found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 2
+
+
+def test_rows_are_made_once_for_all_kinds_of_action(spark):
+    rows = spark.createDataFrame([("n", "a", 1), ("n", "b", 2), ("n", "c", None)], "ns string, tag string, x int").distinct()
+    planned = maintenance.sorted_actions(rows, [("Low", "x", "x < 2"), ("Any", "y", "x > 0"), ("None", "z", "x > 5")])
+    assert sorted((r.action, r.reason, r.tag) for r in planned.collect()) == [("Any", "y", "a"), ("Any", "y", "b"), ("Low", "x", "a")]
+    assert planned.columns == list(maintenance.COLUMNS) and planned._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_missing_links_join_their_sides_once(spark):
+    expected = spark.createDataFrame([("n", "layer", "a", 1), ("n", "layer", "b", 2), ("n", "layer", "c", 3)], "ns string, kind string, name string, target int")
+    actual = spark.createDataFrame([("n", "layer", "a", 1), ("n", "layer", "b", 9)], expected.schema)
+    found = liveness.missing_links(expected, actual, spark.createDataFrame([(2,), (2,)], "digest int"))
+    assert sorted((r.name, r.action) for r in found.collect()) == [("b", "grant"), ("b", "recreate_link"), ("c", "recreate_link")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
