@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyship.sources.shared import ensure_checkpoints
 from tallyship.streaming.events import deliver, queue_depths, recorded_pulls
-from tallyship.streaming.queue import enqueued
+from tallyship.streaming.queue import enqueue_batches, enqueued
 
 
 def _feed(spark, tmp_path, schema, batches, build):
@@ -91,3 +91,53 @@ def test_deliveries_retry_and_fail(spark, tmp_path):
     with pytest.raises(Exception, match="required endpoint bad failed"):
         again.awaitTermination()  # the batch is run again, and its failures are written anew, not twice
     assert [r.endpoint for r in spark.read.parquet(str(tmp_path / "failures")).collect()] == ["bad"]
+
+
+def _enqueue_in_batches(spark, tmp_path, batches, check=lambda df: None):
+    schema = "id string, queue string, lock_key string, seq int, done boolean"
+    source, out = tmp_path / "in", []
+    source.mkdir()
+
+    def take(df, _):
+        check(df)
+        out.extend(map(tuple, df.collect()))
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        enqueue_batches(stream, str(tmp_path / "queue"), take).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_batches_of_a_queue_follow_its_order(spark, tmp_path):
+    """Five triggers over many locks and a hot one, out of order, with ends of jobs, of others' jobs and of none, and nulls as names."""
+    rng, waits, want, batches, seq = random.Random(8), {}, {}, [], 0
+    for batch in range(5):
+        rows = []
+        for _ in range(1 if batch == 2 else 12_000):
+            seq += 1
+            lock = rng.choice([("q", "hot"), ("q", f"l{rng.randrange(300)}"), ("p", f"l{rng.randrange(300)}"), ("q", None), ("only", f"{batch}")])
+            job = waits.get(lock)
+            if rng.random() < 0.2 and lock[0] != "only" and batch != 3:
+                if job and rng.random() < 0.7:
+                    rows.append((job, *lock, seq, True))
+                    waits.pop(lock)
+                else:
+                    rows.append((rng.choice(["never there", *waits.values()][:3]) if not job else "never there", *lock, seq, True))
+                continue
+            i = f"j{seq}"
+            job = waits.setdefault(lock, i)
+            want[i] = (*lock, job, "miss" if job == i else "hit")
+            rows.append((i, *lock, seq, None if rng.random() < 0.1 else False))
+        rng.shuffle(rows)
+        batches.append(rows)
+    got = _enqueue_in_batches(spark, tmp_path, batches)
+    assert {r[0]: r[1:] for r in got} == want and len(got) == len(want)
+
+
+def test_arrivals_of_a_hot_lock_are_not_folded_in_python(spark, tmp_path):
+    def check(df):
+        assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+    got = _enqueue_in_batches(spark, tmp_path, [[(f"j{n:05d}", "q", "l", n, False) for n in range(k, k + 100)] for k in (100, 0)], check)
+    assert {r[3] for r in got} == {"j00100"} and len(got) == 200 and sum(r[4] == "miss" for r in got) == 1
