@@ -41,28 +41,29 @@ def with_last_pull(tags: DataFrame, pulls: DataFrame, inline: str | None = None)
     return tags.join(newest, ["ns", "tag"], "left").withColumn("pulled_ms", time).drop("_pull")
 
 
-def image_scope(now: int, tag: str = "tag") -> R.Scope:
+def image_scope(now: int, tag: str = "tag", pushed_rank: str = "pushed_rank", pulled_rank: str = "pulled_rank") -> R.Scope:
     """Rule names over columns tag, pushed_ms, pulled_ms, pushed_rank and pulled_rank."""
     seconds = lambda c: F.floor(F.col(c) / 1000).cast("bigint")
     return R.retention_scope(
-        F.col(tag), rule_seconds(seconds("pushed_ms"), now), rule_seconds(seconds("pulled_ms"), 0), F.col("pushed_rank"), F.col("pulled_rank"), now
+        F.col(tag), rule_seconds(seconds("pushed_ms"), now), rule_seconds(seconds("pulled_ms"), 0), F.col(pushed_rank), F.col(pulled_rank), now
     )
 
 
 def verdicts(tags: DataFrame, rules: list[str], now: int, global_rules: list[str] | None = None) -> DataFrame:
     """Tags (ns, tag, digest, pushed_ms, pulled_ms), each once, with ranks, retain, outcome and matched_rule.
 
-    Ranks go as far as the rules look at them, and are null beyond.
+    Rules look at ranks as far as they ask for, so that a verdict brings few rows of a
+    group together; the full ranks are planned only where they are read.
     """
     both = tags
     for time, name, function in (("pushed_ms", "pushed_rank", "top_pushed"), ("pulled_ms", "pulled_rank", "top_pulled")):
         most = highest_rank([*rules, *(global_rules or [])], function)
-        both = ranked(both, time, name) if most is None else ranked_to(both, time, name, most)
-    both = both.select(*tags.columns, "pushed_rank", "pulled_rank")
-    scope = image_scope(now)
+        both = ranked(both, time, f"_{name}") if most is None else ranked_to(both, time, f"_{name}", most)
+        both = ranked(both, time, name)
+    scope = image_scope(now, pushed_rank="_pushed_rank", pulled_rank="_pulled_rank")
     verdict = R.evaluate(rules, scope)
     retain = R.either_retains(global_rules or [], rules, scope)
-    return both.withColumn("_verdict", verdict).select(*both.columns, retain.alias("retain"), F.col("_verdict.outcome").alias("outcome"), F.col("_verdict.index").alias("matched_rule"))
+    return both.withColumn("_verdict", verdict).select(*tags.columns, "pushed_rank", "pulled_rank", retain.alias("retain"), F.col("_verdict.outcome").alias("outcome"), F.col("_verdict.index").alias("matched_rule"))
 
 
 def check_pull_times(rules: list[str], recorded: bool) -> None:

@@ -85,6 +85,14 @@ def test_unknown_times_in_verdicts(spark):
     assert got["a"].retain and got["a"].pushed_rank is None and not got["b"].retain and got["b"].pushed_rank == 1
 
 
+def test_ranks_are_whole_where_they_are_read_and_not_planned_elsewhere(spark):
+    tags = spark.createDataFrame([("n", f"t{i}", "d", i * 1000, None) for i in range(5)], "ns string, tag string, digest string, pushed_ms bigint, pulled_ms bigint")
+    found = verdicts(tags, ["top_pushed(2)"], NOW)
+    assert {r.tag: (r.pushed_rank, r.retain) for r in found.collect()} == {f"t{i}": (5 - i, i > 2) for i in range(5)}
+    plan = found.select("tag", "retain")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "WindowGroupLimit" in plan
+
+
 def test_pull_times_have_to_be_recorded():
     check_pull_times(["top_pushed(1)"], False)
     for rule in ("top_pulled(1)", "image.last_pulled_at > 0"):
