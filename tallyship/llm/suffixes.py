@@ -57,17 +57,32 @@ SALTS = 60
 #: Bytes of text of which a task holds the minimizers at once, and aims for a bucket and a shard.
 UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20, 4 << 20
 
+#: Places that are hashed and folded at once, so that what the many passes over them make stays in a core's cache.
+PART = 1 << 16
+
 _LAST = 2**63 - 1  # stands for a null document id, after all others
 
 
 def _slid(x: np.ndarray, fold: Callable) -> np.ndarray:
     """fold over SPREAD neighbours from each place on."""
-    width = 1
-    while width * 2 <= SPREAD:
-        x = fold(x[:-width], x[width:])
-        width *= 2
-    rest = SPREAD - width
-    return fold(x[: len(x) - rest], x[rest:]) if rest else x
+    out = np.empty(len(x) - SPREAD + 1, x.dtype)
+    for at in range(0, len(out), PART):
+        part, width = x[at : at + PART + SPREAD - 1], 1
+        while width * 2 <= SPREAD:
+            part = fold(part[:-width], part[width:])
+            width *= 2
+        rest = SPREAD - width
+        out[at : at + PART] = fold(part[: len(part) - rest], part[rest:]) if rest else part
+    return out
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the STRETCH bytes from each place on, never 0."""
+    out = np.empty(len(data) - STRETCH + 1, np.uint64)
+    for at in range(0, len(out), PART):
+        n = min(PART, len(out) - at)
+        out[at : at + n] = mixed(stretch_hashes(data[at : at + n + STRETCH - 1], slice(0, n), slice(STRETCH, n + STRETCH)))
+    return out
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +90,7 @@ def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     if n < WIDTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashed = mixed(stretch_hashes(data, slice(0, n - STRETCH + 1), slice(STRETCH, n + 1))) | np.uint64(1)
+    hashed = _hashes(data) | np.uint64(1)
     least = _slid(hashed, np.minimum)
     edge = np.zeros(n + 1, np.int64)
     long = np.diff(offsets) >= WIDTH
@@ -290,7 +305,7 @@ def _meet_others(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     n = len(data) - STRETCH + 1
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    hashed = mixed(stretch_hashes(data, slice(0, n), slice(STRETCH, n + STRETCH)))
+    hashed = _hashes(data)
     hashed[np.arange(n) + STRETCH > offsets[1:][owner[:n]]] = np.iinfo(np.uint64).max  # would reach into the next piece
     place = np.flatnonzero(hashed == np.minimum.reduceat(hashed, offsets[:-1])[owner[:n]])
     whose = owner[place]

@@ -164,3 +164,12 @@ def test_documents(spark):
 def test_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert remove_repeats(spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")).count() == 2
+
+
+@pytest.mark.parametrize("part", [1, 31, 1000])
+def test_minimizers_are_the_same_in_parts(monkeypatch, part):
+    rng = np.random.default_rng(3)
+    data, offsets = rng.integers(97, 100, 700).astype(np.uint8), np.array([0, 49, 99, 400, 400, 700])
+    whole = suffixes.minimizers(data, offsets)
+    monkeypatch.setattr(suffixes, "PART", part)
+    assert all((a == b).all() for a, b in zip(whole, suffixes.minimizers(data, offsets), strict=True))
