@@ -17,6 +17,9 @@ from tallyship.llm.blocks import numbered, prefix
 #: Strings of fewer characters are sorted by doubling, as the end of the recursion: a sweep's stretches are short there.
 FEW = 1 << 16
 
+#: The byte between strings.
+END = 254
+
 #: Suffixes of a stretch at first; it grows and shrinks with what a sweep meets.
 STRETCH = 1 << 12
 
@@ -34,40 +37,43 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rises
 
 
-def _sweep(order: np.ndarray, free: np.ndarray, char_of: np.ndarray) -> None:
+def _sweep(order: np.ndarray, free: np.ndarray, char_before: np.ndarray) -> None:
     """Goes through ``order`` (-1: not yet known) and puts the suffix before each into the next free place of its character, unless that is the type's greatest number.
 
     All that a stretch induces is placed at once. A place inside the stretch ends it
-    there, since the suffix that comes to it induces in its turn.
+    there, since the suffix that comes to it induces in its turn. ``char_before`` has the
+    character before each place, and one more for what is not known.
     """
-    at, width, n, none = 0, STRETCH, len(order), np.iinfo(char_of.dtype).max
+    at, width, n, none = 0, STRETCH, len(order), np.iinfo(char_before.dtype).max
     while at < n:
         stop = min(at + width, n)
         source = order[at:stop]
-        giving = np.flatnonzero(source > 0)
-        before = source[giving] - 1
-        char = char_of[before]
-        mine = np.flatnonzero(char != none)
-        if len(mine):
-            giving, before, char = giving[mine], before[mine], char[mine]
-            by = np.argsort(char, kind="stable")
-            in_order = char[by]
-            new = np.empty(len(by), bool)
-            new[0] = True
-            np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
-            begin = np.flatnonzero(new)
+        char = char_before[source]
+        giving = (char != none).nonzero()[0]
+        k = len(giving)
+        if k:
+            char = char[giving]
+            by = char.argsort(kind="stable")
+            in_order, giving = char[by], giving[by]
+            begin = np.empty(k, bool)
+            begin[0] = True
+            np.not_equal(in_order[1:], in_order[:-1], out=begin[1:])
+            begin = begin.nonzero()[0]
             kinds = in_order[begin]
-            place = np.empty(len(by), np.int64)
-            place[by] = (free[kinds] - begin)[np.cumsum(new) - 1] + np.arange(len(by))
-            nearest = int(place.min())
+            count = np.empty(len(begin), np.int64)
+            np.subtract(begin[1:], begin[:-1], out=count[:-1])
+            count[-1] = k - begin[-1]
+            first = free[kinds]
+            place = (first - begin).repeat(count)
+            place += np.arange(k)
+            nearest = int(first.min())
             if nearest < stop:
                 stop = nearest
-                ready = int(np.searchsorted(giving, stop - at))
-                before, place = before[:ready], place[:ready]
-                np.add.at(free, char[:ready], 1)
-            else:
-                free[kinds] += np.diff(begin, append=len(by))
-            order[place] = before
+                ready = giving < stop - at
+                count = np.add.reduceat(ready, begin, dtype=np.int64)
+                giving, place = giving[ready], place[ready]
+            free[kinds] = first + count
+            order[place] = source[giving] - 1
         width = max(64, min(2 * (stop - at), 1 << 17))
         at = stop
 
@@ -98,11 +104,16 @@ class _Buckets:
         free = self.starts.copy()
         order[free[text[-1]]] = n - 1  # larger than the empty suffix behind it
         free[text[-1]] += 1
-        _sweep(order, free, np.where(self.small, self.none, self.char))
+        _sweep(order, free, self._before(~self.small))
         order[self.holds_small] = -1
-        _sweep(order[::-1], n - self.ends, np.where(self.small, self.char, self.none))  # from the largest suffix down
+        _sweep(order[::-1], n - self.ends, self._before(self.small))  # from the largest suffix down
         return order
 
+    def _before(self, wanted: np.ndarray) -> np.ndarray:
+        """The character before each place, if that one is wanted; none before the first and (for -1) behind the last."""
+        none = self.char.dtype.type(self.none)
+        return np.concatenate([[none], np.where(wanted[:-1], self.char[:-1], none), [none]])
+
 
 def _doubled(text: np.ndarray) -> np.ndarray:
     """The suffix array of a short string, by doubling the length that is sorted."""
@@ -123,8 +134,12 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places of all suffixes of an array of non-negative integers, in ascending order."""
+def suffix_array(text: np.ndarray, end: int = -1) -> np.ndarray:
+    """Places of all suffixes of an array of non-negative integers, in ascending order.
+
+    ``end``, if given, is the greatest character; how suffixes compare behind their first
+    one does not matter then, and they may stand in any order that the rest of them allows.
+    """
     n = len(text)
     if n < FEW:
         return _doubled(text) if n else np.zeros(0, np.int64)
@@ -145,13 +160,36 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         rank_of = np.empty(n, np.int32 if n < 2**31 else np.int64)
         rank_of[lms] = np.arange(len(lms))
         which = rank_of[order]
-        fresh = np.append(True, (own[which][1:] != own[which][:-1]) | (ends[which][1:] != ends[which][:-1]))
-        names = np.empty(len(lms), np.int32)
-        names[which] = np.cumsum(fresh) - 1
-        lms = order if fresh.all() else lms[suffix_array(names)]
+        own, ends = own[which], ends[which]
+        fresh = np.append(True, (own[1:] != own[:-1]) | (ends[1:] != ends[:-1]))
+        if end >= 0:  # equal up to an end is enough; such substrings get names of their own
+            over = np.zeros(len(lms) + 1, bool)
+            over[np.searchsorted(lms, np.flatnonzero(text == end))] = True  # by the LMS place behind the end
+            fresh |= over[1:][which]
+        lms = order if fresh.all() else _by_names(order, which, fresh)
     return buckets.induce(lms)
 
 
+def _by_names(order: np.ndarray, which: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """LMS places in the order of their suffixes, from their order by substrings, the number of each in the text, and where a new name begins.
+
+    Nothing is compared past a name that stands once, so of several such names in a row
+    only the first is in the string of names that is sorted; all of them have their place.
+    """
+    once = fresh & np.append(fresh[1:], True)
+    names, several = np.empty(len(order), np.int32), np.empty(len(order), bool)
+    names[which], several[which] = np.cumsum(fresh) - 1, ~once
+    kept = np.flatnonzero(several | np.append(False, several[:-1]))
+    used = np.zeros(len(order), bool)
+    used[names[kept]] = True
+    ranked = kept[suffix_array((np.cumsum(used, dtype=np.int32) - 1)[names[kept]])]
+    place = np.empty(len(order), order.dtype)
+    place[which] = order
+    out = order.copy()
+    out[~once] = place[ranked[several[ranked]]]
+    return out
+
+
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, places: np.ndarray, cap: int) -> np.ndarray:
     """For each of ``places``, how many characters (``cap`` at most) its suffix shares with the one before it in order.
 
@@ -166,10 +204,12 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, places: np.nda
     for k in range(0, cap, 8):
         a, b = places[going], before[places[going]]
         differ = eight[a + k] ^ eight[b + k]
+        same = differ == 0
+        end, differ = going[~same], differ[~same]
         low = differ & (~differ + np.uint64(1))
-        same = np.where(differ == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
-        shared[going] += same
-        going = going[same == 8]
+        shared[end] = k + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        going = going[same]
+    shared[going] = cap
     room = len(text) - np.maximum(places, before[places])
     return np.minimum(np.minimum(shared, cap), room)
 
@@ -177,17 +217,17 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, places: np.nda
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all windows of ``width`` bytes inside consecutive byte strings, and a number for each, equal for equal windows.
 
-    The strings must not have the byte 255, which no UTF-8 text has; it is put between them.
+    The strings must not have the bytes 254 and 255, which no UTF-8 text has; 254 is put between them.
     """
     sizes = np.diff(offsets)
-    text = np.insert(data, offsets[1:], np.uint8(255))
+    text = np.insert(data, offsets[1:], END)
     starts = prefix(sizes + 1)[:-1]
     counts = np.maximum(sizes - width + 1, 0)
     at = prefix(counts)
     places = np.repeat(starts - at[:-1], counts) + np.arange(at[-1])  # in order of strings and offsets
     if not len(places):
         return places, places
-    order = suffix_array(text)
+    order = suffix_array(text, END)
     shared = permuted_common_prefixes(text, order, places, width)
     number = np.full(len(text), -1, np.int64)
     number[places] = shared < width

@@ -173,3 +173,43 @@ def test_minimizers_are_the_same_in_parts(monkeypatch, part):
     whole = suffixes.minimizers(data, offsets)
     monkeypatch.setattr(suffixes, "PART", part)
     assert all((a == b).all() for a, b in zip(whole, suffixes.minimizers(data, offsets), strict=True))
+
+
+def test_names_that_stand_once_are_not_sorted_again(monkeypatch):
+    """Of the string of names only those that recur are sorted, and the first behind each of them; a separator ends what is compared."""
+    monkeypatch.setattr(induced, "FEW", 300)
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 105, int(rng.integers(2, 6))).astype(np.uint8)) for _ in range(60)]
+    pieces = [b" ".join(words[k] for k in rng.integers(0, 60, 20))[:80] for _ in range(400)]
+    pieces += [pieces[k][int(rng.integers(0, 20)) :] for k in range(40)]
+    data, offsets = np.frombuffer(b"".join(pieces), np.uint8), prefix(np.array(list(map(len, pieces))))
+    plain, sizes = induced.suffix_array, []
+    monkeypatch.setattr(induced, "suffix_array", lambda text, *end: sizes.append(len(text)) or plain(text, *end))
+    places, numbers = induced.repeated_windows(data, offsets, 50)
+    windows = [p[i : i + 50] for p in pieces for i in range(len(p) - 49)]
+    assert len(set(zip(windows, numbers.tolist(), strict=True))) == len(set(windows)) == len(set(numbers.tolist())) < len(windows)
+    assert len(sizes) >= 3 and sizes[2] < sizes[1] / 4
+
+
+@pytest.mark.parametrize("few", [3, 40])
+def test_windows_get_equal_numbers_by_recursion(monkeypatch, few):
+    monkeypatch.setattr(induced, "FEW", few)
+    monkeypatch.setattr(induced, "STRETCH", 5)
+    rng = np.random.default_rng(few)
+    for _ in range(60):
+        strings = [bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(0, 30))).astype(np.uint8)) for _ in range(int(rng.integers(1, 25)))]
+        places, numbers = repeated_windows(np.frombuffer(b"".join(strings), np.uint8), prefix(np.array(list(map(len, strings)))), 6)
+        windows = [s[i : i + 6] for s in strings for i in range(len(s) - 5)]
+        assert len(set(zip(windows, numbers.tolist(), strict=True))) == len(set(windows)) == len(set(numbers.tolist()))
+
+
+def test_a_text_gives_the_pieces_of_its_own_minimizers():
+    """Two texts of one block with the same bytes, of which different minimizers are shared."""
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 123, 400).astype(np.uint8)).decode()
+    at, hashed, _ = suffixes.minimizers(np.frombuffer(text.encode(), np.uint8), np.array([0, 400]))
+    keys = suffixes._dealt(hashed[at])
+    rows = pa.RecordBatch.from_pydict({"text": [text] * 3, "hashes": pa.array([keys[1:3].tobytes(), b"", keys[4:5].tobytes()], pa.binary())})
+    block = next(suffixes.blocks(iter([rows])))
+    row, _, _, key, _ = suffixes._pieces(block, 10, np.zeros(0, np.uint64))
+    assert row.tolist() == [0, 0, 2] and key.tolist() == (keys[[1, 2, 4]] & suffixes._same_bits(10)).tolist()
