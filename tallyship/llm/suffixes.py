@@ -54,8 +54,8 @@ MOST_CROWDS = 1 << 20
 #: Keys over which the places of a crowd's piece are spread.
 SALTS = 60
 
-#: Bytes of text of which a task holds the minimizers at once, and aims for a bucket and a shard.
-UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20, 4 << 20
+#: Bytes of text of which a task holds the minimizers at once, and aims for a bucket and a shard (whose arrays then fit a core's share of the caches).
+UNIT_BYTES, BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20, 2 << 20
 
 #: Places that are hashed and folded at once, so that what the many passes over them make stays in a core's cache.
 PART = 1 << 16
